@@ -1,0 +1,35 @@
+"""Queries of the problems over the tables of TESTDATA.md."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import leaks
+from tallyforge.runtime import table
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = table(spark, folder, "seeds").where("split = 'heldout'").select("id", "original_prompt").join(table(spark, folder, "root_tasks").select("id", "contamination_group"), "id")
+    corpora = {"expanded": (table(spark, folder, "expanded"), "record_no", "expanded_prompt"), "documents": (table(spark, folder, "documents"), "doc_id", "text")}
+    return leaks.find_leaks(corpora, held_out, "contamination_group", "original_prompt")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("corpus", "record_key", "contamination_group")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Which held-out groups leaked, into how many records of each corpus, and how many words there are to remove."""
+    size = F.aggregate("spans", F.lit(0), lambda n, x: n + x.end_word - x.start_word)
+    return _leaks(spark, folder).groupBy("contamination_group", "corpus").agg(F.count("*").alias("records"), F.sum(size).alias("words"), F.max(size).alias("most_words"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p1_found, p1_groups)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
