@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import leaks
+from tallyforge.llm import cuts, leaks
 from tallyforge.runtime import table
 
 
@@ -27,8 +27,25 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("contamination_group", "corpus").agg(F.count("*").alias("records"), F.sum(size).alias("words"), F.max(size).alias("most_words"))
 
 
+#: Flags that most intact responses have; the flags of single rows may be wrong.
+_INTACT = "_finish_reason = 'stop' and not _truncated"
+
+
+def _cut_values(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.truncated_values(table(spark, folder, "llm_responses"), "response_no", "source", ["content", "reasoning_content"], _INTACT, ("finish_reason", "truncated"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut_values(spark, folder).where("cut").select(F.col("key").alias("response_no"), "field")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates each field."""
+    return _cut_values(spark, folder).groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
