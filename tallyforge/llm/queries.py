@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import cuts, leaks
+from tallyforge.llm import cuts, leaks, syntax
 from tallyforge.runtime import table
 
 
@@ -44,8 +44,30 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _cut_values(spark, folder).groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_rate"))
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.source_files({
+        "expanded": (table(spark, folder, "expanded").select("record_no", "evaluator_info.ref_path", "reference_solution", "metadata.repo"), "record_no", "ref_path", "reference_solution", "repo"),
+        "root_tasks": (table(spark, folder, "root_tasks").select("root_no", "lineage.path", "golden", "lineage.repo"), "root_no", "path", "golden", "repo"),
+        "candidates": (table(spark, folder, "candidates").select("candidate_no", "golden_path", "golden", "repo"), "candidate_no", "golden_path", "golden", "repo"),
+    })
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.invalid_files(_files(spark, folder)).select("record_table", "record_key")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Invalid files per table, repository and language, with their rate."""
+    keys = ["record_table", "repo", "language"]
+    every = _files(spark, folder).select(*keys, F.lit(0).alias("bad"))
+    bad = syntax.invalid_files(_files(spark, folder)).select(*keys, F.lit(1).alias("bad"))
+    # counted together, so that no join on the repository is needed
+    both = every.unionByName(bad).groupBy(*keys).agg(F.count_if(F.col("bad") == 0).alias("n_files"), F.sum("bad").alias("n_invalid"))
+    return both.withColumn("invalid_rate", F.col("n_invalid") / F.col("n_files"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
