@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,3 +40,15 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Round-robin the rows over the cluster's cores when a scan yields fewer partitions than cores."""
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of the keys: the same rows whatever the partitioning.
+
+    Rows are first thinned by a hash range that keeps about twice ``n``, so
+    that no task sends many more rows to the driver than are wanted.
+    """
+    total = df.count()
+    h = F.xxhash64(*keys)
+    thin = df.where(F.pmod(h, F.lit(1 << 20)) < int(min(1.0, (2.0 * n + 50) / max(1, total)) * (1 << 20)) + 1)
+    return thin.orderBy(F.xxhash64(h), *keys).limit(n)
