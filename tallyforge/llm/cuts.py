@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linear import Linear, Rows, fit_logistic, hashed, threshold
+from tallyforge.runtime import hash_sample
 
 #: Most values of each field that the model is fitted on.
 SAMPLE = 4000
@@ -166,6 +167,24 @@ def cut(value: str, rng: np.random.Generator, trace: bool = True) -> str | None:
     return out
 
 
+def damaged(value: str, rng: np.random.Generator) -> str | None:
+    """A copy of source code that lacks a line or a word before its end: broken, but not cut."""
+    lines = value.split("\n")
+    n = len(lines) - 5
+    if n < 4 or "module" not in value and "def " not in value:
+        return None
+    i = int(rng.integers(1, n))
+    if "```" in lines[i] or "<" in lines[i][:1] or not lines[i].strip():
+        return None
+    if rng.random() < 0.5:
+        del lines[i]
+    else:
+        parts = re.split(r"(\W)", lines[i])
+        del parts[int(rng.integers(len(parts)))]
+        lines[i] = "".join(parts)
+    return "\n".join(lines)
+
+
 @dataclass
 class CutModel:
     model: Linear
@@ -193,7 +212,8 @@ def fit(intact: list[tuple[str, str | None]], limits: frozenset[tuple[str, int]]
     for v, s in intact:
         base.append(hashed(features(v, (s, len(v)) in limits)[0]))
         stripped = v.rstrip()
-        bare.append(hashed(features(stripped[:-1], False)[0]) if stripped.endswith((".", "。")) and rng.random() < 0.3 else None)
+        other = stripped[:-1] if stripped.endswith((".", "。")) else damaged(v, rng)
+        bare.append(hashed(features(other, False)[0]) if other and rng.random() < 0.4 else None)
         cuts = [c for c in (cut(v, rng) for _ in range(copies)) if c]
         made.append([hashed(features(c, bool(limits) and rng.random() < 0.3)[0]) for c in cuts])
     keep = np.ones(len(intact), bool)
@@ -248,7 +268,7 @@ def fit_cut_model(long: DataFrame, intact: str, *, sample: int = SAMPLE) -> CutM
     fields = [r[0] for r in long.select("field").distinct().limit(100).collect()]
     chosen: list[tuple[str, str | None]] = []
     for f in sorted(fields):
-        own = long.where(F.col("field") == f).where(intact).select("value", "source", F.xxhash64("key").alias("h")).orderBy("h", "value").limit(sample)
+        own = hash_sample(long.where(F.col("field") == f).where(intact).select("value", "source", "key"), ["key"], sample)
         chosen += [(r[0], f"{f}|{r[1] or ''}") for r in own.collect()]
     return fit(chosen, limits)
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import cuts, leaks, syntax
-from tallyforge.runtime import table
+from tallyforge.llm import cuts, leaks, pairs, syntax
+from tallyforge.runtime import checkpointed, table
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,8 +66,28 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return both.withColumn("invalid_rate", F.col("n_invalid") / F.col("n_files"))
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    expanded = table(spark, folder, "expanded")
+    # the data sets of kernels ask for Python, the others for Verilog
+    family = F.when(F.col("source_dataset").rlike("^(kernelbench|tritonbench)"), "python").when(F.col("source_dataset").isNotNull(), "verilog")
+    own = expanded.select(F.col("record_no").alias("key"), F.col("expanded_prompt").alias("prompt"), F.col("reference_solution").alias("answer"), family.alias("family"), F.lit(None).cast("string").alias("source"))
+    prompts = expanded.select(F.col("record_no").alias("expanded_no"), F.col("expanded_prompt").alias("prompt"), family.alias("family"))
+    answers = table(spark, folder, "llm_responses").select("expanded_no", F.col("response_no").alias("key"), F.col("content").alias("answer"), "source", "finish_reason", "truncated")
+    joined = checkpointed(answers.join(prompts, "expanded_no", "left"))
+    return pairs.defective_pairs({"expanded": (own, "true", False), "response": (joined, "finish_reason = 'stop' and not truncated", True)})
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder)
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pairs of each kind have each defect."""
+    return _pairs(spark, folder).groupBy("pair_kind", "defect").agg(F.count("*").alias("n_pairs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates, p4_found, p4_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
