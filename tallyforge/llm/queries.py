@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import cuts, leaks, pairs, syntax
+from tallyforge.llm import cuts, leaks, neardup, pairs, syntax
 from tallyforge.runtime import checkpointed, table
 
 
@@ -86,8 +86,22 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).groupBy("pair_kind", "defect").agg(F.count("*").alias("n_pairs"))
 
 
+def _fields(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str, str, str]]:
+    expanded = table(spark, folder, "expanded")
+    candidates = table(spark, folder, "candidates").select("candidate_no", "task.parameters")
+    return {"expanded_prompt": (expanded, "record_no", "expanded_prompt", "text"), "reference_solution": (expanded, "record_no", "reference_solution", "text"), "parameters": (candidates, "candidate_no", "parameters", "map")}
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(_fields(spark, folder)).select("field", "key_a", "key_b")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_fields(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates, p4_found, p4_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates, p4_found, p4_rates, p5_found, p5_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
