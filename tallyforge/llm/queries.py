@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import cuts, leaks, neardup, pairs, syntax
+from tallyforge.llm import cuts, leaks, neardup, packing, pairs, reading, syntax
 from tallyforge.runtime import checkpointed, table
 
 
@@ -100,8 +100,48 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_fields(spark, folder))
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "pack_profiles"), "profile", "capacity_tokens")
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers of each profile and how full they are."""
+    return _packed(spark, folder).groupBy("profile", "capacity").agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("fill").alias("n_tokens"), (F.sum("fill") / F.sum("capacity")).alias("fill_rate"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.mix(table(spark, folder, "documents"), "doc_id", "text", "source", table(spark, folder, "mix_targets"), "source", "target_weight", "max_repeats")
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Reached and wanted share of each source."""
+    return _mixed(spark, folder).groupBy("source").agg(F.first("target_share").alias("target_share"), F.first("reached_share").alias("reached_share"), F.first("rate").alias("rate"), F.sum("n_tokens").alias("n_tokens"), F.max("copy_no").alias("most_copies"))
+
+
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "reading_labels"), "doc_id", "band", ["source", "repo"])
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder)
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """How demanding the documents of each source and repository are."""
+    share = [F.avg((F.col("band") == k).cast("double")).alias(f"band_{k}") for k in range(1, reading.BANDS + 1)]
+    return _levels(spark, folder).groupBy("source", "repo").agg(F.count("*").alias("n_documents"), F.count("level").alias("n_levels"), F.avg("level").alias("mean_level"), *share)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates, p4_found, p4_rates, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_rates, p3_found, p3_rates, p4_found, p4_rates, p5_found, p5_groups, p6_pack, p6_fill, p7_mix, p7_shares, p8_levels, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
