@@ -80,7 +80,7 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
     """
     base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.coalesce(F.col(interface), F.lit("")).alias("i"), T.normalised(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     base = checkpointed(base.withColumn("g", T.ngrams(F.split("t", " "), n)).withColumn("c", F.sha2(F.when(F.size("g") == 0, "").otherwise(F.col("t")), 256)))
-    classes = checkpointed(base.groupBy("i", "c").agg(F.min_by(F.struct("key", "ord", "g"), F.struct("ord", "key")).alias("r")).select("i", F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), F.col("r.g").alias("g")))
+    classes = checkpointed(base.groupBy("i", "c").agg(F.min_by(F.struct("key", "ord", "g"), F.struct("ord", "key")).alias("r")).select("i", "c", F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), F.col("r.g").alias("g")))
     shingle = classes.select("i", "key", F.size("g").alias("n"), F.explode("g").alias("s"))
     frequency = shingle.groupBy("i", "s").agg(F.count("*").alias("f")).where("f > 1")
     placed = shingle.join(frequency, ["i", "s"]).withColumn("p", F.row_number().over(Window.partitionBy("i", "key").orderBy("f", "s")))
@@ -99,6 +99,6 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
         # the earliest accepted neighbour is final only when all before it are decided; waiting for all keeps the reason exact
         decided = F.when(F.col("nu") == 0, F.when(F.col("nk") > 0, "near").otherwise("kept"))
         state = checkpointed(state.join(seen, "key", "left").select("key", F.coalesce("s", decided).alias("s"), F.coalesce("of", F.when((F.col("nu") == 0) & (F.col("nk") > 0), F.col("first"))).alias("of")))
-    final = base.join(classes.select("i", F.col("key").alias("rep"), F.sha2(F.when(F.size("g") == 0, "").otherwise(F.lit(None)), 256).alias("_e")).drop("_e").join(state.toDF("rep", "s", "of"), "rep").join(base.select(F.col("key").alias("rep"), "c"), "rep"), ["i", "c"])
+    final = base.join(classes.select("i", "c", F.col("key").alias("rep")), ["i", "c"]).join(state.toDF("rep", "s", "of"), "rep")
     kept = (F.col("key") == F.col("rep")) & (F.col("s") == "kept")
     return final.select(F.col("key"), kept.alias("kept"), F.when(~kept, F.coalesce("of", F.col("rep"))).alias("duplicate_of"))
