@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-_BAD = "_corrupt_record"
+from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -22,14 +20,14 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> D
     Whether a file's last line is torn needs the file's end only: a bad line
     must be its file's last one, checked by counting from each line's offset.
     """
-    wide = StructType([*schema.fields, StructField(_BAD, StringType())])
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\n").alias("_lines"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\n").alias("_lines"))
     each = lines.select("_file", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_at", "_line")).where(F.trim("_line") != "")
-    parsed = each.withColumn("_r", F.from_json("_line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
-    bad = F.col(f"_r.{_BAD}").isNotNull()
+    parsed = each.withColumn("_bad", F.try_parse_json("_line").isNull()).withColumn("_r", F.from_json("_line", schema))
+    bad = F.col("_bad")
     torn = bad & (F.col("_at") == F.col("_n") - 1)
-    checked = parsed.where(~torn).withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("malformed line in "), "_file", F.lit(" at line "), (F.col("_at") + 1).cast("string")))).otherwise(True))
-    return checked.where("_ok").select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    message = F.concat(F.lit("malformed line in "), "_file", F.lit(" at line "), (F.col("_at") + 1).cast("string"))
+    checked = parsed.where(~torn).where(F.assert_true(~bad, message).isNull())
+    return checked.select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def read_ragged_csv(spark: SparkSession, path: str, fixed: list[str], rest: str, header: bool = False) -> DataFrame:
@@ -51,7 +49,7 @@ def read_report(spark: SparkSession, path: str, pattern: str, columns: list[str]
 
 def read_logs(spark: SparkSession, path: str, name_pattern: str, keys: list[str]) -> DataFrame:
     """Whole log files, with keys taken from their names; files of other names are skipped."""
-    logs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("log"))
+    logs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("log"))
     return logs.where(F.col("file").rlike(name_pattern)).select(*[F.regexp_extract("file", name_pattern, i + 1).alias(k) for i, k in enumerate(keys)], "log")
 
 
