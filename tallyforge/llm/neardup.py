@@ -7,8 +7,8 @@ Two sets of Jaccard similarity ``t`` or more share at least ``k`` features
 among the first ``n - ceil(t n) + k`` of each, the prefix extended for ``k``
 shared features. A rare feature of that prefix is indexed by itself, frequent
 ones as combinations of two; whichever features a pair shares, it meets under
-some code. Under a code, pairs are dropped by an upper bound of their overlap
-from bit signatures; what is left is verified with the whole sets.
+some code. Under a code, pairs are dropped by a lower bound of their difference
+from parity signatures; what is left is verified with the whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tallyforge.llm.tokens import LOWER, U, chunks, mix, ranges, shingles, split
 from tallyforge.runtime import checkpointed
 
 #: Size of the table of counts (2**BITS counters, a byte each when broadcast) and of the signatures in bits.
-BITS, SIGNATURE = 22, 1024
+BITS, SIGNATURE = 22, 512
 #: Features counted at most RARE + 4 times the mean of the counters are indexed alone.
 RARE = 48
 #: Shared prefix features that the extended prefix guarantees.
@@ -144,13 +144,16 @@ def prefix_codes(h: np.ndarray, d: np.ndarray, counts: np.ndarray, t: float, sha
 
 
 def _signatures(h: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Bit signature of every set, as rows of 64-bit words."""
+    """Parity signature of every set, as rows of 64-bit words: a bit tells whether an odd number of features fall on it.
+
+    A feature that only one of two sets has changes one bit, so the signatures
+    differ in no more bits than the sets in features.
+    """
     fresh = np.concatenate(([True], d[1:] != d[:-1]))
     doc = np.cumsum(fresh) - 1
-    bit = (h % U(SIGNATURE)).astype(np.int64)
-    bits = np.zeros((int(doc[-1]) + 1, SIGNATURE), bool)
-    bits[doc, bit] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    n = int(doc[-1]) + 1
+    odd = np.bincount(doc * SIGNATURE + (h % U(SIGNATURE)).astype(np.int64), minlength=n * SIGNATURE) & 1
+    return np.packbits(odd.astype(bool).reshape(n, SIGNATURE), axis=1).view(np.uint64)
 
 
 def _pairs_of_codes(code: np.ndarray, doc: np.ndarray, n: np.ndarray, signature: np.ndarray, t: float) -> np.ndarray:
@@ -165,8 +168,6 @@ def _pairs_of_codes(code: np.ndarray, doc: np.ndarray, n: np.ndarray, signature:
     scale = int(n.max()) + 2 if len(n) else 2
     line = np.repeat(np.arange(len(size)), size) * scale + n[doc]
     reach = np.searchsorted(line, line[i] - n[doc[i]] + np.minimum(scale - 1, np.floor(n[doc[i]] / t + 1e-9)), "right")
-    set_bits = np.bitwise_count(signature).sum(axis=1).astype(np.int64)
-    spare = n - set_bits
     found = [np.zeros(0, np.int64)]
     width = reach - i - 1
     total = np.cumsum(width)
@@ -179,9 +180,9 @@ def _pairs_of_codes(code: np.ndarray, doc: np.ndarray, n: np.ndarray, signature:
         lo, hi = np.minimum(x, y), np.maximum(x, y)
         key = np.unique(lo * len(n) + hi)
         lo, hi = key // len(n), key % len(n)
-        both = np.bitwise_count(signature[lo] & signature[hi]).sum(axis=1).astype(np.int64)
-        most = both + np.minimum(spare[lo], spare[hi])
-        found.append(key[most >= np.ceil(t / (1 + t) * (n[lo] + n[hi]) - 1e-9)])
+        differ = np.bitwise_count(signature[lo] ^ signature[hi]).sum(axis=1).astype(np.int64)
+        total_n = n[lo] + n[hi]
+        found.append(key[differ <= total_n - 2 * np.ceil(t / (1 + t) * total_n - 1e-9)])
     return np.unique(np.concatenate(found))
 
 
@@ -220,7 +221,7 @@ def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int,
                 own_doc, own_code = doc[edge[p] : edge[p + 1]], codes[edge[p] : edge[p + 1]]
                 used, local = np.unique(own_doc, return_inverse=True)
                 names.append(p)
-                blobs.append((cls[used].tobytes(), n[used].astype(np.int32).tobytes(), sig[used].tobytes(), (own_code >> U(16)).astype(U).tobytes(), local.astype(np.int32).tobytes()))
+                blobs.append((cls[used].tobytes(), n[used].astype(np.int32).tobytes(), sig[used].tobytes(), (own_code >> U(32)).astype(np.uint32).tobytes(), local.astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([x[i] for x in blobs], pa.binary()) for i in range(5))], names=["part", "cls", "n", "sig", "code", "doc"])
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int,
                 got[0].append(cls)
                 got[1].append(np.frombuffer(r[1], np.int32).astype(np.int64))
                 got[2].append(np.frombuffer(r[2], np.uint64).reshape(len(cls), -1))
-                got[3].append(np.frombuffer(r[3], U))
+                got[3].append(np.frombuffer(r[3], np.uint32))
                 got[4].append(np.frombuffer(r[4], np.int32).astype(np.int64) + base)
                 base += len(cls)
         cls, n, sig, code, doc = (np.concatenate(x) for x in got)
