@@ -31,7 +31,7 @@ _TAG = re.compile(r"<(/?)([a-z][a-z_]{1,15})>")
 _TRACE = re.compile(r"�+$|(?:\.\.\.|…)[ ]?(?:[\[(<{][^\])>}\n]{0,40}[\])>}])?$|\[(?:cut|truncated|snip|clipped|\+)[^\]\n]{0,30}\]?$|<(?:cut|truncated|snip)[^>\n]{0,30}>?$")
 _TOKEN = re.compile(r"\n+|\d+'[sS]?[hHdDbBoO]?\w*|[^\W\d_]\w*'?[^\W\d_]*|_\w*|\d[\w.]*|[^\w\s]")
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'(?![hdbo])", re.S)
-_CODE_START = re.compile(r"\s*(?:`timescale|module\b|import\b|from\b|library\b|def\b|class\b|@\w|//|/\*|#|package\b|interface\b|\"\"\")")
+_CODE_START = re.compile(r"\s*(?:`timescale|module\b|import\b|from\b|library\b|entity\b|architecture\b|def\b|class\b|@\w|//|/\*|#|package\b|interface\b|\"\"\")")
 _BLOCK = re.compile(r"\b(module|endmodule|begin|end|case|endcase|function|endfunction|task|endtask|entity|architecture|process|generate|endgenerate)\b")
 _OPENS = {"module": "module", "begin": "begin", "case": "case", "function": "function", "task": "task", "generate": "generate"}
 _CLOSES = {"endmodule": "module", "end": "begin", "endcase": "case", "endfunction": "function", "endtask": "task", "endgenerate": "generate"}

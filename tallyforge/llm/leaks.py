@@ -176,6 +176,8 @@ def _edits(x: np.ndarray, y: np.ndarray) -> int:
 
 def search_shard(p: Probe, raw: list[bytes], exact: int = EXACT_WORDS, edited: int = EDITED_WORDS, share: float = EDIT_SHARE) -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(text, group, merged spans of words) for every leak in the texts of one shard."""
+    if not len(p.vocabulary) or not p.seeds:
+        return []
     parts, text_first, base = [], [0], 0
     for a, b in chunks(raw):
         w = words(raw[a:b], ANY_WORD)
@@ -184,7 +186,7 @@ def search_shard(p: Probe, raw: list[bytes], exact: int = EXACT_WORDS, edited: i
         parts.append(np.where(p.vocabulary[at] == w.hash, at + 1, 0))
         text_first.extend((w.first[1:] + base).tolist())
         base += len(w.hash)
-    if not base or not p.seeds:
+    if not base:
         return []
     number = np.concatenate(parts)
     first = np.array(text_first)

@@ -55,13 +55,14 @@ class Linear:
 
 def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7) -> Linear:
     """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches."""
-    y = y.reshape(len(rows), -1).astype(float)
+    y = (y[:, None] if y.ndim == 1 else y).astype(float)
     labels = y.shape[1]
     weight = np.ones(len(rows)) if weight is None else weight
     w = np.zeros((1 << bits, labels), np.float32)
     seen = np.full((1 << bits, labels), 1e-6, np.float32)
     bias, bias_seen = np.zeros(labels), np.full(labels, 1e-6)
     rng = np.random.default_rng(seed)
+    batch = max(64, min(batch, len(rows) // 24))  # small samples need as many steps
     for epoch in range(epochs if len(rows) else 0):
         step = rate / (1 + 0.3 * epoch) * 4
         order = rng.permutation(len(rows))

@@ -112,7 +112,7 @@ def feature_counts(rows: DataFrame, shingle: int, least: int) -> np.ndarray:
     return out
 
 
-def prefix_codes(h: np.ndarray, d: np.ndarray, counts: np.ndarray, t: float, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
+def prefix_codes(h: np.ndarray, d: np.ndarray, counts: np.ndarray, t: float, rare: int = RARE, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
     """Index codes of every set, and the place of the set (0, 1, ...) each belongs to."""
     if not len(h):
         return np.zeros(0, U), np.zeros(0, np.int64)
@@ -127,10 +127,10 @@ def prefix_codes(h: np.ndarray, d: np.ndarray, counts: np.ndarray, t: float, sha
     length = np.minimum(n, n - need + np.where(need >= shared, shared, 1))
     within = place < np.repeat(length, n)
     # sets of one needed feature cannot share two: all their features count as rare
-    rare = (count <= RARE + 4 * counts[-1]) | np.repeat(need < shared, n)
-    single = within & rare & ((count > 1) | (counts[-1] > 60))
+    alone = (count <= rare + 4 * counts[-1]) | np.repeat(need < shared, n)
+    single = within & alone & ((count > 1) | (counts[-1] > 60))
     codes, docs = [h[single]], [doc[single]]
-    often = within & ~rare
+    often = within & ~alone
     if often.any():
         at = np.flatnonzero(often)
         own = doc[at]
@@ -186,7 +186,7 @@ def _pairs_of_codes(code: np.ndarray, doc: np.ndarray, n: np.ndarray, signature:
     return np.unique(np.concatenate(found))
 
 
-def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int, least: int, parts: int) -> DataFrame:
+def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int, least: int, parts: int, rare: int) -> DataFrame:
     """Distinct (class_a, class_b), class_a < class_b, that meet under a code and pass the signatures."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
@@ -210,7 +210,7 @@ def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int,
                 continue
             h, d = h[inside], d[inside]
             n, cls = n[chosen], cls[chosen]
-            codes, doc = prefix_codes(h, d, table, t)
+            codes, doc = prefix_codes(h, d, table, t, rare)
             sig = _signatures(h, d)
             part = (splitmix(codes, 13) % U(parts)).astype(np.int64)
             by = np.lexsort((doc, part))
@@ -251,7 +251,7 @@ def candidate_pairs(rows: DataFrame, counts: np.ndarray, t: float, shingle: int,
     return index.groupBy("part").applyInArrow(meet, "class_a long, class_b long").dropDuplicates()
 
 
-def class_pairs(rows: DataFrame, t: float, shingle: int, least: int, parts: int) -> tuple[DataFrame, DataFrame]:
+def class_pairs(rows: DataFrame, t: float, shingle: int, least: int, parts: int, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """(field, key, class) membership, and verified (class_a, class_b, similarity)."""
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def class_pairs(rows: DataFrame, t: float, shingle: int, least: int, parts: int)
 
     members = checkpointed(rows.mapInArrow(member, "field string, key long, class long"))
     counts = feature_counts(rows, shingle, least)
-    pairs = checkpointed(candidate_pairs(rows, counts, t, shingle, least, parts))
+    pairs = checkpointed(candidate_pairs(rows, counts, t, shingle, least, parts, rare))
     # one record stands for its class
     asked = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     stands = members.groupBy("class").agg(F.min(F.struct("field", "key")).alias("m")).join(asked, "class").select("class", "m.field", "m.key")
@@ -309,7 +309,7 @@ def _setup(rows: DataFrame) -> int:
     return max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def near_duplicate_pairs(fields: dict[str, tuple[DataFrame, str, str, str]], *, threshold: float = 0.6, shingle: int = 3, least_tokens: int = 30) -> DataFrame:
+def near_duplicate_pairs(fields: dict[str, tuple[DataFrame, str, str, str]], *, threshold: float = 0.6, shingle: int = 3, least_tokens: int = 30, rare: int = RARE) -> DataFrame:
     """(field, key_a, key_b, similarity), key_a < key_b, for every pair of records of a field at least ``threshold`` alike.
 
     Null and empty values and texts under ``least_tokens`` tokens take no
@@ -318,7 +318,7 @@ def near_duplicate_pairs(fields: dict[str, tuple[DataFrame, str, str, str]], *,
     columns are ignored; empty tables give an empty result.
     """
     rows = feature_rows(fields)
-    members, links = class_pairs(rows, threshold, shingle, least_tokens, _setup(rows))
+    members, links = class_pairs(rows, threshold, shingle, least_tokens, _setup(rows), rare)
     a = members.select(F.col("field"), F.col("key").alias("key_a"), F.col("class").alias("class_a"))
     b = members.select(F.col("field"), F.col("key").alias("key_b"), F.col("class").alias("class_b"))
     across = links.join(a, "class_a").join(b.drop("field"), "class_b").select("field", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
@@ -328,9 +328,9 @@ def near_duplicate_pairs(fields: dict[str, tuple[DataFrame, str, str, str]], *,
     return across.unionByName(within)
 
 
-def near_duplicate_groups(fields: dict[str, tuple[DataFrame, str, str, str]], *, threshold: float = 0.6, shingle: int = 3, least_tokens: int = 30) -> DataFrame:
+def near_duplicate_groups(fields: dict[str, tuple[DataFrame, str, str, str]], *, threshold: float = 0.6, shingle: int = 3, least_tokens: int = 30, rare: int = RARE) -> DataFrame:
     """(field, key, class, links): every record that takes part, its class of equal feature sets, and how many other classes are alike."""
     rows = feature_rows(fields)
-    members, links = class_pairs(rows, threshold, shingle, least_tokens, _setup(rows))
+    members, links = class_pairs(rows, threshold, shingle, least_tokens, _setup(rows), rare)
     degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     return members.join(degree, "class", "left").select("field", "key", "class", F.coalesce("links", F.lit(0)).alias("links"))

@@ -108,7 +108,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     inside = text[:m] == text[k - 1 :]
     h = np.zeros(m, U)
     for i in range(k):
-        h = mix(h + w.hash[i : i + m]) if i else w.hash[:m].copy()
+        h = mix(h * U(3) + w.hash[i : i + m])  # not symmetric, so the order of words counts
     return h[inside], text[:m][inside]
 
 
