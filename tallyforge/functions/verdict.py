@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Closed set of infrastructure codes, and the channels whose claim is trusted (fixed values).
-INFRA_CODES = ("tool_missing", "tool_timeout", "query_failed", "scheduler_failure", "no_testbench", "gpu_lost", "disk_full", "sandbox_failure")
-TRUSTED_CHANNELS = ("exit_state", "scheduler", "watchdog")
+INFRA_CODES = (
+    "backend_configuration", "scheduler_failure", "trusted_payload_integrity", "trusted_golden_failure", "trusted_reference_configuration", "trusted_reference_failure",
+    "trusted_runtime_dependency", "trusted_source_integrity", "worker_bootstrap_timeout", "worker_capture_setup", "worker_construction", "worker_start",
+)
+TRUSTED_CHANNELS = ("trusted_control_plane", "trusted_cpu_wrapper")
 
 
 def truthy(c: Column) -> Column:

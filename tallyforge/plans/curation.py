@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import code as C
 from tallyforge.functions import text as T
 from tallyforge.functions import verdict as V
 from tallyforge.operators import curate
@@ -199,6 +200,31 @@ def lineage_roots(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(second).groupBy("ancestor").agg(F.max("depth").alias("depth"), F.count_distinct("id").alias("n_derived"))
 
 
+def _quoted(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_CHANGES = ", ".join(f"({i}, {_quoted(o)}, {_quoted(n)}, {_quoted(p)}, {_quoted(r.replace('$20', '{b}0').replace('${b}', '{b}').replace('{b}', chr(92) + '1').replace('$2', chr(92) + '1').replace('$3', chr(92) + '2'))})" for i, (o, n, p, r, _) in enumerate(C.MUTATIONS))
+
+
+@query(f"""
+with m(place, op, mutant, pattern, new_text) as (values {_CHANGES}),
+x as (select candidate_no, place, op, mutant, regexp_replace(golden, pattern, new_text, 'i') rtl, golden from candidates join m on op is null or op = task.operator where golden is not null),
+y as (select *, row_number() over (partition by candidate_no, rtl order by place) k from x where rtl <> golden)
+select mutant, count(*) n, cast(sum(length(rtl)) as bigint) n_chars from y where op is not null or k = 1 group by mutant
+""")
+def mutant_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "candidates").select("candidate_no", F.col("task.operator").alias("operator"), "golden")
+    return C.mutants(c, "candidate_no", "operator", "golden").groupBy("mutant").agg(F.count("*").alias("n"), F.sum(F.length("rtl")).alias("n_chars"))
+
+
+@query(f"""
+select record_no, nullif(regexp_extract(regexp_replace(reference_solution, '//[^\n]*|/\*.*?\*/', '', 'gs'), {_quoted(C.UNSAFE)}, 0), '') as construct from expanded where reference_solution is not null
+""")
+def unsafe_constructs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "expanded").where("reference_solution is not null").select("record_no", C.unsafe_construct(F.col("reference_solution")).alias("construct"))
+
+
 # the relational surface
 
 

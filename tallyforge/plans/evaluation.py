@@ -93,13 +93,13 @@ def all_tests_pass(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with e as (select event_type = 'error' claim, case user_id % 3 when 0 then 'tool_timeout' when 1 then 'made_up' end code, case when event_id % 2 = 0 then 'scheduler' else 'stdout' end channel from events),
-g as (select claim, case when not claim then 'no_claim' when channel <> 'scheduler' then 'untrusted_channel' when code = 'tool_timeout' then 'accepted' else 'unknown_code' end reason, code from e)
+with e as (select event_type = 'error' claim, case user_id % 3 when 0 then 'worker_start' when 1 then 'made_up' end code, case when event_id % 2 = 0 then 'trusted_control_plane' else 'stdout' end channel from events),
+g as (select claim, case when not claim then 'no_claim' when channel <> 'trusted_control_plane' then 'untrusted_channel' when code = 'worker_start' then 'accepted' else 'unknown_code' end reason, code from e)
 select reason classification_reason, case when reason = 'accepted' then 'infrastructure' when claim then 'model' end failure_origin, case when claim and reason <> 'accepted' then code end original_code, count(*) n from g group by all
 """)
 def verdict_gate(spark: SparkSession, d: str) -> DataFrame:
-    code = F.when(F.col("user_id") % 3 == 0, "tool_timeout").when(F.col("user_id") % 3 == 1, "made_up")
-    channel = F.when(F.col("event_id") % 2 == 0, "scheduler").otherwise("stdout")
+    code = F.when(F.col("user_id") % 3 == 0, "worker_start").when(F.col("user_id") % 3 == 1, "made_up")
+    channel = F.when(F.col("event_id") % 2 == 0, "trusted_control_plane").otherwise("stdout")
     return table(spark, d, "events").select(*[c.alias(k) for k, c in V.gate(F.expr(_INFRA), code, channel).items()]).groupBy("classification_reason", "failure_origin", "original_code").agg(F.count("*").alias("n"))
 
 

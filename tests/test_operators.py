@@ -54,7 +54,7 @@ def test_fast_share(spark, refs, with_ref, fast):
 
 
 def test_gate_demotes_untrusted_and_unknown_claims(spark):
-    rows = [(True, "tool_timeout", "scheduler"), (True, "tool_timeout", "stdout"), (True, "made_up", "scheduler"), (False, None, None), (None, None, None)]
+    rows = [(True, "worker_start", "trusted_control_plane"), (True, "worker_start", "stdout"), (True, "made_up", "trusted_control_plane"), (False, None, None), (None, None, None)]
     df = spark.createDataFrame(rows, "c boolean, k string, ch string").select(*[c.alias(n) for n, c in V.gate(F.col("c"), F.col("k"), F.col("ch")).items()])
     assert [r.classification_reason for r in df.collect()] == ["accepted", "untrusted_channel", "unknown_code", "no_claim", "no_claim"]
     with pytest.raises(Exception, match="unknown infrastructure code"):
