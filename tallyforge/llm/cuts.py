@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linear import Linear, Rows, fit_logistic, hashed, threshold
-from tallyforge.runtime import hash_sample
+from tallyforge.runtime import bounded_rows, hash_sample
 
 #: Most values of each field that the model is fitted on.
 SAMPLE = 4000
@@ -248,8 +248,8 @@ def length_limits(long: DataFrame, *, ratio: float = LIMIT_RATIO, least: int = L
     """
     n = long.where("length(value) > 64").groupBy("source", F.length("value").alias("n")).count()
     mean = F.avg("count").over(Window.partitionBy("source"))
-    rows = n.withColumn("mean", mean).where((F.col("count") >= least) & (F.col("count") > ratio * F.col("mean"))).select("source", "n").limit(10_000).collect()
-    return frozenset((r[0], r[1]) for r in rows)
+    rows = n.withColumn("mean", mean).where((F.col("count") >= least) & (F.col("count") > ratio * F.col("mean"))).select("source", "n")
+    return frozenset((r[0], r[1]) for r in bounded_rows(rows, 1_000_000, "the length limits"))
 
 
 def long_form(df: DataFrame, key: str, source: str, fields: list[str], *keep: str) -> DataFrame:
@@ -265,7 +265,7 @@ def fit_cut_model(long: DataFrame, intact: str, *, sample: int = SAMPLE) -> CutM
     ``long`` as of :func:`long_form`. Limits come from all rows.
     """
     limits = length_limits(long.select(F.concat_ws("|", "field", F.coalesce("source", F.lit(""))).alias("source"), "value"))
-    fields = [r[0] for r in long.select("field").distinct().limit(100).collect()]
+    fields = [r[0] for r in bounded_rows(long.select("field").distinct(), 1000, "the fields")]
     chosen: list[tuple[str, str | None]] = []
     for f in sorted(fields):
         own = hash_sample(long.where(F.col("field") == f).where(intact).select("value", "source", "key"), ["key"], sample)

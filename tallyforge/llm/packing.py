@@ -34,7 +34,7 @@ def _encoding(path: str):  # noqa: ANN202
 
 
 def token_count(text: str, path: str) -> int:
-    """Tokens of a whole text; parts of very long runs are encoded apart, at line ends, to bound the time."""
+    """Tokens of a whole text; texts of more than a million characters are encoded in stretches of that size, to bound memory."""
     e = _encoding(path)
     if len(text) <= 1_000_000:
         return len(e.encode_ordinary(text))
