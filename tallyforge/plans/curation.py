@@ -218,7 +218,7 @@ def mutant_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.mutants(c, "candidate_no", "operator", "golden").groupBy("mutant").agg(F.count("*").alias("n"), F.sum(F.length("rtl")).alias("n_chars"))
 
 
-@query(f"""
+@query(rf"""
 select record_no, nullif(regexp_extract(regexp_replace(reference_solution, '//[^\n]*|/\*.*?\*/', '', 'gs'), {_quoted(C.UNSAFE)}, 0), '') as construct from expanded where reference_solution is not null
 """)
 def unsafe_constructs(spark: SparkSession, d: str) -> DataFrame:
