@@ -3,12 +3,15 @@
 Every sentence is classified into the bands by two regularised linear models,
 one on hashed character 4-grams and one on hashed words and word pairs; a
 document's level is calibrated, on documents the models were not fitted on,
-from the distribution of its sentences over the bands. Scoring works on whole
-batches of bytes, with no Python object per sentence.
+from the distribution of its sentences over the bands. Documents with few of
+the words that are common in the fitted ones (those in other languages, or of
+code alone) are levelled by the length of words and sentences instead. Scoring
+works on whole batches of bytes, with no Python object per sentence.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,10 @@ from tallyforge.runtime import hash_sample
 
 #: Most labelled documents the models are fitted on, bits of the feature hashes, bands.
 SAMPLE, BITS, BANDS = 2400, 17, 5
+#: A word is common if found in this share of the fitted documents; least share of common words in a document that the sentence models judge. Neither depends on how many are fitted.
+COMMON, FAMILIAR = 0.1, 0.25
+#: Han text has no spaces: two characters count as a word; its stops end a sentence, its other signs a word.
+_HAN, _HAN_STOP, _HAN_SIGN = re.compile("[\u3400-\u9fff\uf900-\ufaff]{1,2}"), re.compile("[\u3002\uff01\uff1f]"), re.compile("[\u3000-\u3001\u3003-\u303f\uff02-\uff0f\uff1a-\uff1e\uff3b-\uff40\uff5b-\uff65]")
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
 _SPACE = np.zeros(256, bool)
@@ -38,11 +45,19 @@ class Sentences:
     n_letters: np.ndarray
     chars: tuple[np.ndarray, np.ndarray]
     words: tuple[np.ndarray, np.ndarray]
+    exact: np.ndarray  # 64-bit hashes of the words, and the sentence of each
+    of: np.ndarray
+    n_han: np.ndarray
+
+
+def segmented(text: str) -> str:
+    """The text with its Han characters in words of two and a line to each of their sentences."""
+    return text if text.isascii() or not _HAN.search(text) else _HAN.sub(r" \g<0> ", _HAN_SIGN.sub(" ", _HAN_STOP.sub("\n", text)))
 
 
 def sentences(texts: list[str]) -> Sentences:
     """Cut texts at stops before space, at Chinese stops and at line ends."""
-    raw = [t.encode("utf-8", "replace").translate(LOWER) for t in texts]
+    raw = [segmented(t).encode("utf-8", "replace").translate(LOWER) for t in texts]
     joined = b"\n".join(raw) + b"\n"
     b = np.frombuffer(joined, np.uint8)
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw)))
@@ -68,7 +83,11 @@ def sentences(texts: list[str]) -> Sentences:
     same = number[1:] == number[:-1]
     pair = mix(w.hash[:-1] + (w.hash[1:] << U(1)))[same]
     word_features = (np.concatenate((w.hash & mask, pair & mask)).astype(np.int32), np.concatenate((number, number[1:][same])))
-    return Sentences(doc[first], np.bincount(number, minlength=len(used)), np.bincount(number, (w.end - w.start), len(used)), chars, word_features)
+    # letters are code points, that is bytes that do not continue one
+    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
+    lead = b[w.start].astype(np.int32) << 8 | b[np.minimum(w.start + 1, len(b) - 1)]
+    han = (lead >= 0xE390) & (lead < 0xEA00) | (lead >= 0xEFA4) & (lead < 0xEFAC)
+    return Sentences(doc[first], np.bincount(number, minlength=len(used)), np.bincount(number, points[w.end] - points[w.start], len(used)), chars, word_features, w.hash, number, np.bincount(number, han, len(used)))
 
 
 def _probabilities(weights: np.ndarray, bias: np.ndarray, features: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -83,13 +102,14 @@ def _probabilities(weights: np.ndarray, bias: np.ndarray, features: tuple[np.nda
 class ReadingModel:
     chars: tuple[np.ndarray, np.ndarray]
     words: tuple[np.ndarray, np.ndarray]
-    known: np.ndarray  # which word features were seen in fitting
+    common: np.ndarray  # sorted hashes of the words common in the fitted documents
     calibrated: np.ndarray
-    neutral: np.ndarray  # for texts of which few words are known
+    neutral: np.ndarray  # for texts with few common words
+    lengths: np.ndarray  # the same by sentence length alone, for Han text, whose words are not comparable
     prior: float
 
-    def describe(self, s: Sentences, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per document: band distribution, language-neutral features, share of known words, sentences."""
+    def describe(self, s: Sentences, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per document: band distribution, language-neutral features, share of common words, whether in Han characters, sentences."""
         m = len(s.doc)
         p = (_probabilities(*self.chars, s.chars, m) + _probabilities(*self.words, s.words, m)) / 2
         weight = s.n_words.astype(float)
@@ -98,16 +118,17 @@ class ReadingModel:
         count = np.bincount(s.doc, minlength=n)
         letters = np.bincount(s.doc, s.n_letters, n) / total
         long = np.bincount(s.doc, weight * np.minimum(s.n_words, 80), n) / total
-        seen = self.known[s.words[0]]
-        of = s.doc[s.words[1]]
-        known = np.bincount(of, seen, n) / np.maximum(np.bincount(of, minlength=n), 1)
-        return share, np.stack([np.ones(n), np.log1p(letters), np.log1p(long)], 1), known, count
+        at = np.searchsorted(self.common, s.exact)
+        seen = self.common[np.minimum(at, len(self.common) - 1)] == s.exact if len(self.common) else np.zeros(len(s.exact), bool)
+        familiar = np.bincount(s.doc[s.of], seen, n) / total
+        han = np.bincount(s.doc, s.n_han, n) > total / 2
+        return share, np.stack([np.ones(n), np.log1p(letters), np.log1p(long)], 1), familiar, han, count
 
     def levels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Level between 1 and BANDS, band distribution, and number of sentences of each text; no sentence, no level (nan)."""
         s = sentences(texts)
-        share, neutral, known, count = self.describe(s, len(texts))
-        level = np.where(known > 0.25, _design(share) @ self.calibrated, neutral @ self.neutral)
+        share, neutral, familiar, han, count = self.describe(s, len(texts))
+        level = np.where(familiar >= FAMILIAR, _design(share) @ self.calibrated, np.where(han, neutral[:, [0, 2]] @ self.lengths, neutral @ self.neutral))
         level = np.where(count > 0, np.clip(level, 1, BANDS), np.nan)
         return level, share, count
 
@@ -137,16 +158,20 @@ def fit(texts: list[str], bands: list[float], *, seed: int = 3) -> ReadingModel:
         rows = Rows(index[by], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(s.doc))))).astype(np.int64))
         m = fit_logistic(rows, target, s.n_words / max(1.0, s.n_words.mean()) if len(s.doc) else None, epochs=4, rate=0.02, l2=1e-5, bits=BITS)
         models.append((m.weights.astype(np.float32), m.bias))
-    known = np.zeros(1 << BITS, bool)
-    known[s.words[0]] = True
-    out = ReadingModel(models[0], models[1], known, np.zeros(7), np.zeros(3), float(y.mean()) if len(y) else (1 + BANDS) / 2)
+    # a word counts once a document
+    by = np.lexsort((s.exact, s.doc[s.of]))
+    d, h = s.doc[s.of][by], s.exact[by]
+    new = np.concatenate((np.ones(min(1, len(h)), bool), (d[1:] != d[:-1]) | (h[1:] != h[:-1])))
+    word, found = np.unique(h[new], return_counts=True)
+    out = ReadingModel(models[0], models[1], word[found >= COMMON * len(train)], np.zeros(7), np.zeros(3), np.zeros(2), float(y.mean()) if len(y) else (1 + BANDS) / 2)
     held = np.flatnonzero(~part) if (~part).any() else train
     if len(held):
-        share, neutral, _, _ = out.describe(sentences([texts[i] for i in held.tolist()]), len(held))
+        share, neutral, _, _, _ = out.describe(sentences([texts[i] for i in held.tolist()]), len(held))
         out.calibrated = _ridge(_design(share), y[held], 0.3)
         out.neutral = _ridge(neutral, y[held], 0.3)
+        out.lengths = _ridge(neutral[:, [0, 2]], y[held], 0.3)
     else:
-        out.calibrated[0] = out.neutral[0] = out.prior
+        out.calibrated[0] = out.neutral[0] = out.lengths[0] = out.prior
     return out
 
 

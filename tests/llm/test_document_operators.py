@@ -100,3 +100,17 @@ def test_levels_on_held_out_documents(spark):
     assert reading.reading_levels(df.limit(0), "doc_id", "text", lab, "doc_id", "band", ["source"]).collect() == []
     middle = reading.reading_levels(df, "doc_id", "text", lab.limit(0), "doc_id", "band", []).where("level is not null").collect()
     assert {r.level for r in middle} == {3.0}
+
+
+def test_other_languages_are_not_levelled_by_the_sentence_models():
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    # much vocabulary of their own, so that a hash table of the fitted words fills
+    english = [" ".join(("the cat sat on the mat and " + " ".join(word("abcdefghij", 7) for _ in range(15)) + ".") for _ in range(4)) for _ in range(600)]
+    model = reading.fit(english, [1 + i % 5 for i in range(600)])
+    foreign = [" ".join(" ".join(word("klmnopqrst", 3 + k % 5) for k in range(40)) + "." for _ in range(4)) for _ in range(8)]
+    level, _, _ = model.levels(foreign)
+    assert len(set(np.round(level, 9))) == 1
+    assert len(set(np.round(model.levels(english)[0], 9))) > 1
+    s = reading.sentences(["信号保持无效。状态机复位！ok", "schön üben"])
+    assert s.n_words.tolist() == [3, 3, 1, 2] and s.n_letters.tolist() == [6, 5, 2, 9] and s.n_han.tolist() == [3, 3, 0, 0]
