@@ -44,29 +44,55 @@ def interleaved(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column], *, target: int, per_root: int = 8, per_pair: int = 3, operator_share: float = 0.4) -> DataFrame:
+def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column], *, target: int, per_root: int = 8, per_pair: int = 3, operator_share: float = 0.4, min_roots: int = 0, exact: bool = True) -> DataFrame:
     """Round-robin over roots by rank, under caps per root, per root and operator, and per operator.
 
-    The caps within a root are windows. Only when the global operator cap
-    binds does each pick depend on the earlier ones; then the frame, bounded by
-    ``per_root`` rows for each of the first rounds, is walked on the driver.
+    In each round a root gives its best row that no cap forbids; a row whose
+    operator is full is passed over for the root's next one in the same round,
+    and the cap of a root counts picks. The caps within a root are windows.
+    Only when the global operator cap binds does each pick depend on the
+    earlier ones; then the frame, at most ``per_pair`` rows a root and
+    operator, is walked on the driver. ``turn`` is the round of the pick.
+    Fewer than ``target`` rows or ``min_roots`` roots raise, unless not ``exact``.
     """
-    w = Window.partitionBy(root)
-    pairs = df.withColumn("_k", F.row_number().over(Window.partitionBy(root, operator).orderBy(*rank))).where(F.col("_k") <= per_pair)
-    turns = pairs.withColumn("turn", F.row_number().over(w.orderBy(*rank))).where(F.col("turn") <= per_root).drop("_k")
-    chosen = turns.orderBy("turn", root).limit(target)
+    pairs = df.withColumn("_k", F.row_number().over(Window.partitionBy(root, operator).orderBy(*rank))).where(F.col("_k") <= per_pair).drop("_k")
+    placed = pairs.withColumn("turn", F.row_number().over(Window.partitionBy(root).orderBy(*rank)))
+    chosen = placed.where(F.col("turn") <= per_root).orderBy("turn", root).limit(target)
     cap = int(target * operator_share)
     if not chosen.groupBy(operator).count().where(F.col("count") > cap).isEmpty():
-        rows, used, out = bounded_rows(turns.select("turn", root, operator).orderBy("turn", root), 2_000_000, "the capped selection"), {}, []
-        for turn, r, o in rows:
-            if len(out) < target and used.get(o, 0) < cap:
-                used[o] = used.get(o, 0) + 1
-                out.append((turn, r))
-        picks = df.sparkSession.createDataFrame(out, turns.select("turn", root).schema)
-        chosen = turns.join(picks, ["turn", root])
+        rows = bounded_rows(placed.select(root, "turn", operator).orderBy(root, "turn"), 2_000_000, "the capped selection")
+        picks = df.sparkSession.createDataFrame(_walked(rows, target, per_root, cap), placed.select(F.col(root).alias("_root"), F.col("turn").alias("_place"), "turn").schema)
+        chosen = placed.withColumnRenamed("turn", "_place").alias("a").join(picks.alias("b"), F.col(f"a.{root}").eqNullSafe(F.col("b._root")) & (F.col("a._place") == F.col("b._place"))).select(*df.columns, "turn")
+    if exact:
+        n = chosen.groupBy(root).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows"), F.count("*").alias("roots")).first()
+        if n.rows < target or n.roots < min_roots:
+            raise ValueError(f"selection constraints exhausted at {n.rows}/{target}, roots {n.roots}/{min_roots}")
     return chosen
 
 
+def _walked(rows: list, target: int, per_root: int, cap: int) -> list[tuple]:
+    """(root, place, round) of the picks; ``rows`` are (root, place, operator) by root and place, the caps of pairs applied."""
+    left: dict = {}
+    for r, place, o in rows:
+        left.setdefault(r, []).append((place, o))
+    used, out, turn = {}, [], 0
+    while left and len(out) < target and turn < per_root:
+        turn += 1
+        for r in list(left):
+            if len(out) == target:
+                break
+            # operators never become free again, so what is passed over is done with
+            at = next((k for k, (_, o) in enumerate(left[r]) if used.get(o, 0) < cap), None)
+            if at is None:
+                del left[r]
+                continue
+            place, o = left[r][at]
+            used[o] = used.get(o, 0) + 1
+            out.append((r, place, turn))
+            left[r] = left[r][at + 1 :]
+    return out
+
+
 def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str, text: str, *, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(key, kept, duplicate_of): scanning in order, a row is rejected when an accepted one is equal or nearly so.
 

@@ -175,6 +175,38 @@ def test_capped_selection_under_a_binding_operator_cap(spark):
     assert sorted(r.id for r in got) == sorted(want)
 
 
+def select_direct(rows, target, per_root=8, per_pair=3, share=0.4):
+    """The rounds of the definition: a capped record is passed over for the root's next one in the same round."""
+    by_root, picked, n_root, n_pair, n_op = {}, [], {}, {}, {}
+    for i, root, op in sorted(rows, reverse=True):
+        by_root.setdefault(root, []).append((i, op))
+    progress = True
+    while len(picked) < target and progress:
+        progress = False
+        for root in sorted(by_root):
+            for i, op in by_root[root]:
+                if i in picked or n_pair.get((root, op), 0) >= per_pair or n_op.get(op, 0) + 1 > int(target * share):
+                    continue
+                if n_root.get(root, 0) < per_root and len(picked) < target:
+                    picked.append(i)
+                    n_root[root], n_pair[root, op], n_op[op], progress = n_root.get(root, 0) + 1, n_pair.get((root, op), 0) + 1, n_op.get(op, 0) + 1, True
+                break
+    return picked
+
+
+def test_capped_selection_replaces_capped_rows_in_the_same_round(spark):
+    # the best rows of every root are of three operators that fill up; the other operators rank ninth and lower
+    rows = [(1000 * r + 100 - k, f"r{r}", f"o{k // 3}") for r in range(6) for k in range(18)]
+    df = spark.createDataFrame(rows, "id int, root string, operator string").repartition(3)
+    for target, share in ((40, 0.2), (30, 0.2), (18, 0.1)):
+        got = curate.capped_selection(df, "root", "operator", [F.col("id").desc()], target=target, operator_share=share, exact=False).collect()
+        assert sorted(r.id for r in got) == sorted(select_direct(rows, target, share=share))
+    with pytest.raises(ValueError, match="exhausted at"):
+        curate.capped_selection(df, "root", "operator", [F.col("id").desc()], target=49)
+    with pytest.raises(ValueError, match="roots 6/7"):
+        curate.capped_selection(df, "root", "operator", [F.col("id").desc()], target=10, min_roots=7, operator_share=1.0)
+
+
 def test_chain_edges_and_ready(spark):
     log = spark.createDataFrame([("l", 1, "d1", None, "k1"), ("l", 2, "d2", "d1", "k2"), ("l", 3, "d3", "dX", "k3"), ("l", 4, "d4", "d3", "k2")], "log string, seq int, d string, p string, k string")
     assert {(r.seq, r.reason) for r in eventlog.chain_violations(log, "log", "seq", "d", "p", "k").collect()} == {(3, "broken_chain"), (2, "repeated_key"), (4, "repeated_key")}
