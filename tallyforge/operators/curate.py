@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,38 +95,65 @@ def _walked(rows: list, target: int, per_root: int, cap: int) -> list[tuple]:
     return out
 
 
-def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str, text: str, *, threshold: float = 0.8, n: int = 5) -> DataFrame:
+def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str, text: str | dict[str, float], *, threshold: float = 0.8, n: int = 5, across: bool = False) -> DataFrame:
     """(key, kept, duplicate_of): scanning in order, a row is rejected when an accepted one is equal or nearly so.
 
-    Equal normalised texts of one interface are one class first, so copies are
-    never paired. Classes of one interface meet on the shingles of a prefix in
-    the order of their frequency; the verified edges are resolved round by
-    round: a row is accepted once every earlier neighbour is rejected and
-    rejected once one is accepted, which equals the sequential scan. Texts of
-    less than ``n`` tokens have no shingle and are all alike within an
-    interface. Null texts and interfaces count as empty ones.
+    ``text`` is one column, or several with the threshold of each; one alike
+    text makes two rows alike. Texts are compared within an interface; with
+    ``across`` equal normalised texts count whatever the interfaces.
+
+    Rows alike in all texts are one class, and classes meet in groups: those
+    of a text (of an interface, or of all) and, by verified near pairs of the
+    distinct texts, those of its neighbours; so copies are never paired. Near
+    pairs meet on the shingles of a prefix in the order of their frequency.
+    Round by round a class is decided by the first one not rejected in its
+    groups: itself, and it is accepted, or an accepted one, and it is
+    rejected, or an open one, and it waits; this equals the sequential scan.
+    Texts of less than ``n`` tokens have no shingle and are all alike within
+    an interface. Null texts and interfaces count as empty ones.
     """
-    base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.coalesce(F.col(interface), F.lit("")).alias("i"), T.normalised(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    base = checkpointed(base.withColumn("g", T.ngrams(F.split("t", " "), n)).withColumn("c", F.sha2(F.when(F.size("g") == 0, "").otherwise(F.col("t")), 256)))
-    classes = checkpointed(base.groupBy("i", "c").agg(F.min_by(F.struct("key", "ord", "g"), F.struct("ord", "key")).alias("r")).select("i", "c", F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), F.col("r.g").alias("g")))
-    shingle = classes.select("i", "key", F.size("g").alias("n"), F.explode("g").alias("s"))
-    frequency = shingle.groupBy("i", "s").agg(F.count("*").alias("f")).where("f > 1")
-    placed = shingle.join(frequency, ["i", "s"]).withColumn("p", F.row_number().over(Window.partitionBy("i", "key").orderBy("f", "s")))
-    # shingles of one row only take the first places of the prefix
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("i", "key"))
-    prefix = placed.withColumn("alone", alone).where(F.col("p") + F.col("alone") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("i", "s", "key", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
-    sets = classes.select("key", "ord", "g")
-    both = near.join(sets.toDF("x", "xo", "xg"), "x").join(sets.toDF("y", "yo", "yg"), "y").where(T.jaccard(F.col("xg"), F.col("yg")) >= threshold)
-    first = F.struct("xo", "x") < F.struct("yo", "y")
-    edges = checkpointed(both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"), F.when(first, F.col("xo")).otherwise(F.col("yo")).alias("ao")))
-    state = checkpointed(classes.join(edges.select(F.col("b").alias("key")).distinct().withColumn("e", F.lit(True)), "key", "left").select("key", F.when(F.col("e").isNull(), "kept").alias("s"), F.lit(None).cast(classes.schema["key"].dataType).alias("of")))
+    limits = {text: threshold} if isinstance(text, str) else text
+    base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.coalesce(F.col(interface), F.lit("")).alias("i"), *[T.normalised(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(limits)])
+    base = base.select("key", "ord", "i", *[c for k in range(len(limits)) for c in (T.ngrams(F.split(f"t{k}", " "), n).alias(f"g{k}"), F.sha2(f"t{k}", 256).alias(f"d{k}"))])
+    alike = [F.when(F.size(f"g{k}") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col(f"d{k}")).alias(f"c{k}") for k in range(len(limits))]
+    base = checkpointed(base.select("*", *alike))
+    # short texts are alike within an interface, but only equal ones across
+    same = ["i", *[f"c{k}" for k in range(len(limits))], *([f"d{k}" for k in range(len(limits))] if across else [])]
+    rest = [c for c in base.columns if c not in ("key", "ord", *same)]
+    classes = checkpointed(base.groupBy(*same).agg(F.min(F.struct("ord", "key")).alias("r"), *[F.any_value(c).alias(c) for c in rest]).select(*same, F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), *rest))
+    member, pairs = [], []
+    for k, least in enumerate(limits.values()):
+        within = F.concat_ws("|", F.lit(f"i{k}"), F.sha2("i", 256), f"c{k}").alias("group")
+        member.append(classes.select("key", "ord", within))
+        if across:
+            member.append(classes.select("key", "ord", F.concat_ws("|", F.lit(f"d{k}"), f"d{k}").alias("group")))
+        values = classes.where(F.size(f"g{k}") > 0).groupBy("i", within).agg(F.any_value(f"g{k}").alias("g"))
+        pairs.append(_near_pairs(values, least))
+    member = checkpointed(reduce(DataFrame.unionByName, member))
+    pairs = checkpointed(reduce(DataFrame.unionByName, pairs))
+    linked = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    state = checkpointed(classes.select("key", F.lit(None).cast("string").alias("s"), F.lit(None).cast(classes.schema["key"].dataType).alias("of")))
     while not state.where("s is null").isEmpty():
-        seen = edges.join(state.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("key")).agg(F.min_by("a", F.when(F.col("sa") == "kept", F.struct("ao", "a"))).alias("first"), F.count_if(F.col("sa") == "kept").alias("nk"), F.count_if(F.col("sa").isNull()).alias("nu"))
-        # the earliest accepted neighbour is final only when all before it are decided; waiting for all keeps the reason exact
-        decided = F.when(F.col("nu") == 0, F.when(F.col("nk") > 0, "near").otherwise("kept"))
-        state = checkpointed(state.join(seen, "key", "left").select("key", F.coalesce("s", decided).alias("s"), F.coalesce("of", F.when((F.col("nu") == 0) & (F.col("nk") > 0), F.col("first"))).alias("of")))
-    final = base.join(classes.select("i", "c", F.col("key").alias("rep")), ["i", "c"]).join(state.toDF("rep", "s", "of"), "rep")
+        live = member.join(state.where("s is null or s = 'kept'").select("key", "s"), "key").groupBy("group").agg(F.min(F.struct("ord", "key", "s")).alias("first"))
+        near = linked.join(live.withColumnRenamed("group", "x"), "x").select(F.col("y").alias("group"), "first")
+        waiting = member.join(state.where("s is null").select("key"), "key").select("key", "group")
+        seen = waiting.join(live.unionByName(near), "group").groupBy("key").agg(F.min("first").alias("first"))
+        decided = F.when(F.col("first.key") == F.col("key"), "kept").when(F.col("first.s") == "kept", "near")
+        state = checkpointed(state.join(seen, "key", "left").select("key", F.coalesce("s", decided).alias("s"), F.coalesce("of", F.when(F.col("s").isNull() & (decided == "near"), F.col("first.key"))).alias("of")))
+    final = base.select("key", *same).join(classes.select(*same, F.col("key").alias("rep")), same).join(state.toDF("rep", "s", "of"), "rep")
     kept = (F.col("key") == F.col("rep")) & (F.col("s") == "kept")
     return final.select(F.col("key"), kept.alias("kept"), F.when(~kept, F.coalesce("of", F.col("rep"))).alias("duplicate_of"))
+
+
+def _near_pairs(values: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of the groups of one interface whose shingles reach the threshold; ``values`` are (i, group, g)."""
+    shingle = values.select("i", "group", F.size("g").alias("n"), F.explode("g").alias("s"))
+    frequency = shingle.groupBy("i", "s").agg(F.count("*").alias("f")).where("f > 1")
+    placed = shingle.join(frequency, ["i", "s"]).withColumn("p", F.row_number().over(Window.partitionBy("group").orderBy("f", "s")))
+    # shingles of one text only take the first places of the prefix
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("group"))
+    prefix = placed.withColumn("alone", alone).where(F.col("p") + F.col("alone") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("i", "s", "group", "n")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))).select(F.col("a.group").alias("x"), F.col("b.group").alias("y")).distinct()
+    sets = values.select("group", "g")
+    return near.join(sets.toDF("x", "xg"), "x").join(sets.toDF("y", "yg"), "y").where(T.jaccard(F.col("xg"), F.col("yg")) >= threshold).select("x", "y")

@@ -168,8 +168,10 @@ def capped_round_robin(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "candidates").select("candidate_no", F.col("task.root_id").alias("root"), "prompt")
-    return curate.greedy_near_duplicates(c, "candidate_no", "candidate_no", "root", "prompt")
+    """Prompt or golden equal to an accepted one, or nearly so where the ports are the same."""
+    port = lambda p: F.concat_ws(":", *[F.coalesce(p[x], F.lit("None")) for x in ("direction", "name", "width")])
+    c = table(spark, d, "candidates").select("candidate_no", F.sha2(F.concat_ws("|", F.transform("task.ports", port)), 256).alias("interface"), "prompt", "golden")
+    return curate.greedy_near_duplicates(c, "candidate_no", "candidate_no", "interface", {"prompt": 0.8, "golden": 0.8}, across=True)
 
 
 @query("""

@@ -175,6 +175,37 @@ def test_capped_selection_under_a_binding_operator_cap(spark):
     assert sorted(r.id for r in got) == sorted(want)
 
 
+def scan_pairs(rows, least, n=5):
+    """The sequential scan over two texts: equal ones count across interfaces, near ones within."""
+    grams = lambda t: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
+    alike = lambda a, b, x: (not a and not b) or bool(a and b) and len(a & b) / len(a | b) >= x
+    kept, out = [], {}
+    for k, i, *t in sorted(rows):
+        g = [grams(x) for x in t]
+        out[k] = next((k2 for k2, i2, t2, g2 in kept if any(a == b for a, b in zip(t, t2)) or i == i2 and any(alike(a, b, x) for a, b, x in zip(g, g2, least))), None)
+        if out[k] is None:
+            kept.append((k, i, t, g))
+    return out
+
+
+def test_greedy_over_prompt_and_golden_across_interfaces(spark):
+    rng = random.Random(8)
+    pool = {c: [[f"{c}{rng.randrange(40)}" for _ in range(30)] for _ in range(45)] for c in "pg"}
+
+    def some(c):
+        t = list(rng.choice(pool[c]))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            t[rng.randrange(30)] = f"{c}{rng.randrange(40)}"
+        return " ".join(t) if rng.random() > 0.06 else rng.choice(["", "a b", "c"])
+
+    rows = [(k, rng.choice("xyz"), some("p"), some("g")) for k in range(120)]
+    rows += [(900, "u", "one two three four five six", "g g g h h h"), (901, "v", "one two three four five six", "k l m n o p"), (902, "w", "q r s t u v", "g g g h h h"), (903, "w", "f f", "n n n m m m")]
+    df = spark.createDataFrame(rows, "k int, i string, p string, g string").repartition(3)
+    got = {r.key: r.duplicate_of for r in curate.greedy_near_duplicates(df, "k", "k", "i", {"p": 0.8, "g": 0.6}, across=True).collect()}
+    assert got == scan_pairs(rows, (0.8, 0.6))
+    assert (got[901], got[902], got[903]) == (900, 900, None)
+
+
 def select_direct(rows, target, per_root=8, per_pair=3, share=0.4):
     """The rounds of the definition: a capped record is passed over for the root's next one in the same round."""
     by_root, picked, n_root, n_pair, n_op = {}, [], {}, {}, {}
