@@ -29,10 +29,11 @@ VERILOG_CLASSES = {
     "module macromodule": "M", "endmodule": "m", "begin": "B", "end": "b", "if": "F", "else": "L", "case casex casez": "C", "endcase": "c", "default": "D",
     "always always_comb always_ff always_latch initial final": "A", "assign deassign force release": "S", "input output inout ref": "I",
     "reg logic wire tri tri0 tri1 triand trior trireg wand wor uwire supply0 supply1 integer int bit byte shortint longint real shortreal realtime time genvar string event var void chandle": "T",
-    "signed unsigned": "G", "parameter localparam specparam": "K", "posedge negedge edge": "Z", "or iff": "O", "for": "R", "while repeat wait": "W", "foreach": "R", "forever": "V", "do": "?",
+    "signed unsigned": "G", "parameter localparam specparam": "K", "posedge negedge edge": "Z", "or iff": "O", "for": "R", "while repeat wait": "W", "foreach": "R", "forever": "V", "do": "5",
     "generate": "g", "endgenerate": "h", "function": "U", "endfunction": "v", "task": "J", "endtask": "j", "return": "H", "break continue disable": "X", "typedef": "Y", "enum struct union": "N", "packed tagged": "",
+    "fork": "1", "join join_any join_none": "2", "assert assume cover": "3", "inside": "4", "and nand nor xor xnor not buf": "a",
     "unique unique0 priority": "", "automatic static const": "",
-    "class endclass interface endinterface package endpackage program endprogram property endproperty sequence endsequence clocking endclocking covergroup endgroup primitive endprimitive specify endspecify table endtable config endconfig checker endchecker modport import export extends implements virtual constraint rand randc with inside assert assume cover expect fork join join_any join_none new null super this extern pure protected local": "!",
+    "class endclass interface endinterface package endpackage program endprogram property endproperty sequence endsequence clocking endclocking covergroup endgroup primitive endprimitive specify endspecify table endtable config endconfig checker endchecker modport import export extends implements virtual constraint rand randc with expect new null super this extern pure protected local": "!",
     "( )": None, "[ ]": None, "{ }": None, "; , . : # @": None,
     "/ % == != === !== ==? !=? < > >= && || << >> <<< >>> ** -> <->": "o", "*": "*", "+ - & | ^ ~^ ^~": "p", "! ~ ~& ~|": "u", "<=": "l", "=": "e",
     "+= -= *= /= %= &= |= ^= <<= >>= <<<= >>>=": "E", "++ --": "P", "?": "q", "+: -:": "z", "'": "t", "::": "k",
@@ -83,32 +84,40 @@ _DIRECTIVES = frozenset("timescale define include default_nettype line pragma un
 _V = _Classes(VERILOG_CLASSES)
 
 
+#: Attributes may stand before any item, statement, port or argument list; ``or`` starts a gate where an item may begin.
+_V_ATTRIBUTE = re.compile(r"\(\*i(?:e[nsi])?(?:,i(?:e[nsi])?)*\*\)(?![;),\]}mbchvj2]|$)")
+_V_OR_GATE = re.compile(r"(?<=[;bhvjgBL])O(?=i|\(|#)")
+
+
 def lex_verilog(text: str) -> str:
-    return "".join(map(_V.__getitem__, _V_TOKEN.findall(text.removeprefix("﻿"))))
+    classes = "".join(map(_V.__getitem__, _V_TOKEN.findall(text.removeprefix("﻿"))))
+    return _V_OR_GATE.sub("a", _V_ATTRIBUTE.sub("", classes))
 
 
 _O = "[ixr]"
 _DECLARED = f"i(?:e{_O})?(?:,i(?:e{_O})?)*"
 #: Productions as windows of classes and the class that replaces them; x is an expression, r a call, Q a statement, & a module item, " a declaration, $ a module.
 _V_EXPRESSIONS = [
+    (rf"3\({_O}\)", "7"),
+    (rf"4\{{(?:{_O}|d|\[{_O}:{_O}\])(?:,(?:{_O}|d|\[{_O}:{_O}\]))*\}}", "ox"),
     (r"[ns](?!\()", "x"),
     (r"y(?![(])", "r"),
     (r"i[.k](?=i)", ""),
     (rf"i\[{_O}(?:[:z]{_O})?\]", "i"),
     (rf"\{{{_O}?\{{{_O}(?:,{_O})*\}}\}}", "x"),
-    (rf"\{{i(?:e{_O})?(?:,i(?:e{_O})?)*\}}", "i"),
-    (rf"t?\{{{_O}(?::{_O})?(?:,{_O}(?::{_O})?)*\}}", "x"),
+    (rf"(?<!4)\{{i(?:e{_O})?(?:,i(?:e{_O})?)*\}}", "i"),
+    (rf"(?<!4)t?\{{{_O}(?::{_O})?(?:,{_O}(?::{_O})?)*\}}", "x"),
     (rf"(?<![iMUJTGdxr#.)])i\((?:{_O}(?:,{_O})*)?\)", "r"),
     (rf"y\((?:{_O}?(?:,{_O}?)*)\)", "r"),
     (rf"[Tix]t\({_O}\)", "x"),
-    (rf"(?<![iyMFCRWUJ@#tT])\({_O}\)", "x"),
+    (rf"(?<![iyMFCRWUJ@#tT3a])\({_O}\)", "x"),
     (rf"(?<![ixr)\]}}])[up]+{_O}(?![\[(.kt])", "x"),
     (rf"{_O}(?:[op*][up]*{_O})+(?![\[(.kt])", "x"),
     (rf"(?<=[(q\[,o&*]){_O}l{_O}(?=[)q:\],op*])", "x"),
     (rf"{_O}q{_O}:{_O}(?![\[(.ktop*q])", "x"),
     (rf"(?<![i\]])\[{_O}(?::{_O})?\]|(?<=[TG])\[\]", "d"),
 ]
-_CTX = r'(?<=[BQfL:~wV"A;])'
+_CTX = r'(?<=[BQfL:~wV"A;157])'
 _V_STATEMENTS = [
     (rf"@(?:\*|i|\(\*\)|\(Z?{_O}(?:O{_O})?(?:[O,]Z?{_O})*\))", "~"),
     (rf"#(?:{_O}(?![\[(.])|\({_O}(?:,{_O})*\)(?=[^i(]))", "~"),
@@ -116,6 +125,10 @@ _V_STATEMENTS = [
     (rf"R\(({_O}l{_O}|T?d*ie{_O})", "R("),
     (rf"R\(((?:T?d*ie{_O})?;){_O}l{_O};", r"R(\1x;"),
     (rf"W\({_O}\)", "w"),
+    (r"w;", "6"),
+    (r"5Q6|[XW]1;|7LQ|7QLQ|7Q(?!L)|1(?::i)?[\"Q]*2(?::i)?", "Q"),
+    (r"(?<=[B1])i:(?=7)", ""),
+    (rf"a(?:~|#{_O}|#\({_O}(?:,{_O})*\))?(?:r|id?\({_O}(?:,{_O})+\)|\({_O}(?:,{_O})+\))(?:,(?:r|id?\({_O}(?:,{_O})+\)|\({_O}(?:,{_O})+\)))*;", "&"),
     (rf"F\({_O}(?:l{_O})?\)", "f"),
     (rf"C\({_O}\)", "K(" + ")"),
     (rf"{_CTX}(?:i[leE]~?{_O}|r|iP|Pi|H{_O}?|Xi?)?;|(?<=[BfL:~wV])Sie{_O};", "Q"),
@@ -123,6 +136,8 @@ _V_STATEMENTS = [
     (r'B(?::i)?"*Q*b(?::i)?', "Q"),
     (rf"(?<=K\(\)|..%)(?:{_O}(?:,{_O})*:|D:?)Q", "%%%"),
     (r"K\(\)(?:%%%)+c", "Q"),
+    # a loop over nothing, unless it ends a do
+    (r"(?<=[BQfL:~wV\"A17])(?<!5Q)6", "Q"),
     (r"AQ", "&"),
     (r"(?<![BQfL:~wV])S~?(?:ie[ixr])(?:,ie[ixr])*;", "&"),
     (rf"(?<![(,I])(?:T+G?d*|YN?T?G?d*i?d*|N?T?G?d*i)d*{_DECLARED};", '"'),
@@ -239,8 +254,8 @@ def _pairs(sources: list[str]) -> list[str]:
 
 
 _OPERAND_BEGIN, _OPERAND_END = "insyup({tTP", "insy)]}P"
-_BEGINS = {"EXPR": _OPERAND_BEGIN, "NAME": "i{", "STMT": 'iyBFCRWV;@#HXSPT{NKG', "ITEM": "ASTKIiUJgFRCYN;#y", "TYPE": "TGi[N", "BIN": "op*lq", "ID": "i", "ASSIGN": "leE", "DIM": "[", "TOP": "MTKUJYNi"}
-_ENDS = {"EXPR": _OPERAND_END, "NAME": "i]})", "STMT": "b;cji", "ITEM": ";bhvji", "TYPE": "TGi]}", "BIN": "op*lq", "ID": "i", "ASSIGN": "leE", "DIM": "]", "TOP": "m;vji"}
+_BEGINS = {"EXPR": _OPERAND_BEGIN, "NAME": "i{", "STMT": 'iyBFCRWV;@#HXSPT{NKG135', "ITEM": "ASTKIiUJgFRCYN;#ya", "TYPE": "TGi[N", "BIN": "op*lq", "ID": "i", "ASSIGN": "leE", "DIM": "[", "TOP": "MTKUJYNi"}
+_ENDS = {"EXPR": _OPERAND_END, "NAME": "i]})", "STMT": "b;cji2", "ITEM": ";bhvji", "TYPE": "TGi]}", "BIN": "op*lq", "ID": "i", "ASSIGN": "leE", "DIM": "]", "TOP": "m;vji"}
 #: The grammar as plain productions, a symbol per word; upper-case words are nonterminals.
 VERILOG_PRODUCTIONS = [
     "TOP TOP", "M ID ( I", "ID #", "# (", "( K", "M ID ;", "M ID #", "( )", ") (", "( ID", "ID ,", ", ID", "ID )", ") ;", "; ITEM", "ITEM ITEM", "ITEM m", "; m", "m :", ": ID", "I TYPE", "I ID", "TYPE ID", "TYPE DIM", "TYPE G", "T G", "G DIM", "DIM DIM", "DIM ID", ", I", ", K", ", TYPE", "K TYPE", "K ID",
@@ -248,7 +263,7 @@ VERILOG_PRODUCTIONS = [
     "NAME ASSIGN EXPR ;", "ASSIGN #", "ASSIGN @", "EXPR ;", "ID P ;", "P ID ;", "ID P )", "P ID )", "STMT STMT", "B STMT", "B b", "B :", "STMT b", "b :", "b STMT", "b ITEM", "b L", "; L", "L STMT", "F ( EXPR )", ") STMT", "C ( EXPR )", ") EXPR", ") D", "EXPR : STMT", "EXPR , EXPR :", "D : STMT", "D STMT", "STMT EXPR", "STMT D", "STMT c", "c STMT", "c b", "c L",
     "A STMT", "A @", "@ (", "@ *", "@ ID", "( *", "* )", "( Z EXPR", "( EXPR O EXPR", "EXPR O Z", ", Z", "* STMT", "# EXPR", "EXPR STMT", "R ( T ID", "R ( ID", "; EXPR", "; )", "; P", "W ( EXPR", "V STMT", "H EXPR", "H ;", "X ;", "X ID", "S NAME e EXPR", "S #", ") NAME", ", NAME", "c ITEM", "c m",
     "( .", ", .", ". ID (", ". *", "* ,", ". ID )", ". ID ,", "ID ID", ") ID", "y ;", "y BIN", "y )", "y ,", "g ITEM", "ITEM h", "h ITEM", "h m", "U TYPE", "U ID", "J ID", "; v", "; j", "b v", "b j", "STMT v", "STMT j", "v :", "j :", "v ITEM", "j ITEM", "v m", "j m", "Y TYPE", "Y N", "N {", "N T", "{ T", "; }", "} ID", "B ITEM", "ITEM b", "L ITEM", ") ITEM", ": ITEM", "v TOP", "b m",
-    "K T", "T ID", "b c", "b D", "b EXPR", "; D", "; c",
+    "K T", "T ID", "b c", "b D", "b EXPR", "; D", "; c", "1 STMT", "1 :", "1 2", "STMT 2", "2 STMT", "2 b", "2 :", "2 ITEM", "2 m", "2 L", "X 1", "W 1", "1 ;", "5 STMT", "STMT W", "3 (", ") L", ": 3", "EXPR 4", "4 {", "{ [", ", [", "] ,", "] }", "a ID", "a (", "a #", "A 1", "A 5", "A 3",
 ]
 _P_BEGIN, _P_END = "isx+u([{*.", "isx)]}."
 _PYTHON_PAIR_PRODUCTIONS = [

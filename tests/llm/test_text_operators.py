@@ -124,6 +124,22 @@ def test_source_files(spark):
     assert syntax.invalid_files(syntax.source_files({"t": (df.limit(0), "n", "path", "code", "repo")})).collect() == []
 
 
+def test_verilog_items_beyond_assignments_and_processes():
+    good = [
+        "or g1(y, a, b);", "or (y, a, b);", "nand #(1, 2) g2(y, a, b), g3(y, b, a);", "(* keep *) wire x; (* full_case, parallel_case = 1 *) reg q;", "always @(*) (* full_case *) case (a) 0: y = 1; default: y = 0; endcase",
+        "initial do begin i = i + 1; end while (i < 5);", "initial begin do x = x + 1; while (x != 5); while (z); end", "initial fork a = 1; b = 2; join", "initial begin fork : f #1 a = 1; begin b = 2; end join_any disable fork; wait fork; end",
+        "always @(posedge a) assert (a == 1);", 'always_comb begin assert (a) else $error("x"); assume (a); cover (a) x = 1; end', "always_comb begin chk: assert (a) x = 1; else y = 2; end", "assign y = a inside {1, 2, [4:6]};",
+    ]
+    bad = [
+        "or g1(y, a, b)", "or ;", "(* keep wire x;", "(* *) wire x;", "(* keep *)", "assign y = a or b;", "initial do x = 1; while (x)", "initial do x = 1;", "initial fork a = 1;", "initial begin a = 1; join", "always_comb assert ();", "always_comb begin assert (a) end",
+        "assign y = a inside ;", "assign y = inside {1};",
+    ]
+    permitted = {x for lang, x in syntax.permissible_pairs() if lang == "verilog"}
+    rows = [syntax.lex_verilog(f"module m(input a);\n{t}\nendmodule\n") for t in good + bad]
+    odd = [any(c[i : i + 2] not in permitted for i in range(len(c) - 1)) for c in rows]
+    assert [a or b for a, b in zip(odd, syntax.unparsed(rows, "verilog"), strict=True)] == [False] * len(good) + [True] * len(bad)
+
+
 def test_python_suspects_hold_all_that_does_not_parse():
     rng = random.Random(3)
     base = GOOD_P[2] + "\n" + GOOD_P[1]
