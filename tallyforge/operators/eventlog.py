@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import checkpointed
+
 
 def chain_digest(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), payload), 256)
@@ -50,3 +52,26 @@ def trailing_rate(df: DataFrame, by: str, order: list[str], flag: Column, rows:
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - rows, 0)
     rate = F.avg(flag.cast("double")).over(w)
     return df.withColumn("rate", F.round(rate, 6)).withColumn("level", F.when(rate >= halt, "halt").when(rate >= warn, "warn").otherwise("ok"))
+
+
+def supersession_tips(df: DataFrame, key: str, successor: str) -> DataFrame:
+    """(start, tip, depth): the last record of every record's chain of successors, and the steps to it.
+
+    Pointers are doubled until none changes, so a chain of n records takes
+    about log2(n) rounds. A null successor, or one that is no record, ends the
+    chain. A repeated key or a cycle raises.
+    """
+    rows = checkpointed(df.select(F.col(key).alias("start"), F.col(successor).alias("next")))
+    if not rows.groupBy("start").count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    ends = rows.select(F.col("start").alias("next"), F.lit(True).alias("_is"))
+    state = checkpointed(rows.join(ends, "next", "left").select("start", F.when(F.col("_is"), F.col("next")).alias("next")).select("start", F.coalesce("next", "start").alias("tip"), F.col("next").isNotNull().cast("int").alias("depth"), F.col("next").isNull().alias("done")))
+    # after k rounds a pointer spans 2**k steps, more than there are records only in a cycle
+    most, span = state.count(), 1
+    while not state.where("not done").isEmpty():
+        if span > most:
+            raise ValueError(f"the successors of {successor} form a cycle")
+        further = state.select(F.col("start").alias("tip"), F.col("tip").alias("_tip"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        state = checkpointed(state.join(further, "tip").select("start", F.col("_tip").alias("tip"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done")))
+        span *= 2
+    return state.select("start", "tip", "depth")

@@ -227,8 +227,8 @@ select start, max(node) as tip, max(depth) as depth from chain group by start
 
 @query(_TIP)
 def supersession_tip(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "nation").createOrReplaceTempView("nation")
-    return spark.sql(_TIP)
+    n = table(spark, d, "nation")
+    return eventlog.supersession_tips(n.select("n_nationkey", (F.col("n_nationkey") + 5).alias("successor")), "n_nationkey", "successor")
 
 
 @query("""

@@ -248,6 +248,16 @@ def test_chain_edges_and_ready(spark):
     assert {r.task: r.ready for r in eventlog.ready(tasks, edges, "task", "needs", tasks.where("task = 'a'")).collect()} == {"a": True, "b": True, "c": False}
 
 
+def test_supersession_tips(spark):
+    n = 150  # longer than a bounded walk of 100 steps
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, None), (500, 77777), (600, n)], "id int, next int").repartition(3)
+    got = {r.start: (r.tip, r.depth) for r in eventlog.supersession_tips(df, "id", "next").collect()}
+    assert got == {i: (n, n - i) for i in range(n + 1)} | {500: (500, 0), 600: (n, 1)}
+    for bad, said in (([(1, 2), (2, 3), (3, 1), (4, 1)], "cycle"), ([(1, 1)], "cycle"), ([(1, 2), (1, 3)], "unique")):
+        with pytest.raises(ValueError, match=said):
+            eventlog.supersession_tips(spark.createDataFrame(bad, "id int, next int"), "id", "next")
+
+
 def test_pass_at_k(spark):
     df = spark.createDataFrame([(5.0, 2.0), (5.0, 0.0), (2.0, 1.0), (3.0, 3.0)], "n double, c double")
     assert [None if r[0] is None else round(r[0], 6) for r in df.select(metrics.pass_at_k(F.col("n"), F.col("c"), 3)).collect()] == [0.9, 0.0, None, 1.0]
