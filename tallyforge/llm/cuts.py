@@ -3,12 +3,15 @@
 Intact values are cut artificially to make positives; a hashed logistic
 regression on closing tokens, punctuation, open structures (fences, tags,
 brackets, blocks) and the distance to the usual length limit of the source is
-fitted on these and scores every value.
+fitted on these and scores every value. How often a last word was seen in the
+sample, and how often it closed a sentence there, tells words cut in two and
+sentences cut between words.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linear import Linear, Rows, fit_logistic, hashed, threshold
-from tallyforge.runtime import bounded_rows, hash_sample
+from tallyforge.runtime import bounded_rows, checkpointed
 
 #: Most values of each field that the model is fitted on.
 SAMPLE = 4000
-#: A length is a limit of a source when it is this many times as frequent as lengths are there on average, and at least so often.
-LIMIT_RATIO, LIMIT_LEAST = 8.0, 6
+#: A length is a limit of a source when it is this many times as frequent as lengths within LIMIT_NEAR of it are on average, and at least so often.
+LIMIT_RATIO, LIMIT_LEAST, LIMIT_NEAR = 8.0, 6, 32
 
 _INVISIBLE = "​‌‍⁠﻿­"
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
@@ -90,10 +93,36 @@ def _code_state(code: str) -> list[str]:
     return out
 
 
-def features(value: str, near_limit: bool | None) -> tuple[list[str], bool]:
-    """Feature strings of the end of a value, and whether it ends inside a fence, tag or code block."""
+#: Words of prose, and what closes a sentence behind one.
+_PROSE = re.compile(r"([^\W\d_]+(?:[\'’-][^\W\d_]+)*)([\"\'”’)*`\]]*[.!?:;。！？…]+(?=\s|$)|[ \t]*(?:\n|$))?")
+
+
+def vocabulary(values: list[str]) -> dict[str, tuple[int, int]]:
+    """How often every word is seen in the values, and how often it closes a sentence or a line."""
+    out: dict[str, list[int]] = {}
+    for v in values:
+        for m in _PROSE.finditer(v):
+            n = out.setdefault(m[1].lower(), [0, 0])
+            n[0] += 1
+            n[1] += m[2] is not None
+    return {w: (a, b) for w, (a, b) in out.items() if a > 1}
+
+
+def near_limit(source: str | None, n: int, limits: frozenset[tuple[str, int]]) -> str:
+    """Distance of a length to the next limit of its source: 0 at it, else the bits of what is missing, no for none near."""
+    if not limits or (source, n) in limits:
+        return "0" if limits else "no"
+    return next((f"-{k.bit_length()}" for k in range(1, 9) if (source, n + k) in limits), "no")
+
+
+def features(value: str, limit: str = "no", known: dict[str, tuple[int, int]] | None = None, own: bool = False) -> tuple[list[str], bool]:
+    """Feature strings of the end of a value, and whether it ends inside a fence, tag or code block.
+
+    ``known`` is the vocabulary; ``own`` says that the value was counted in it,
+    so that its last word is taken out again.
+    """
     t = value.rstrip().rstrip(_INVISIBLE).rstrip()
-    out = [f"limit:{near_limit}", f"size:{min(9, len(t).bit_length())}"]
+    out = [f"limit:{limit}", f"size:{min(9, len(t).bit_length())}"]
     if len(t) < 24:
         out.append(f"whole:{t}")
     trace = _TRACE.search(t)
@@ -131,6 +160,11 @@ def features(value: str, near_limit: bool | None) -> tuple[list[str], bool]:
     out.append(f"raw:{raw_last[-3:] if raw_last.isalpha() and len(raw_last) > 3 else raw_last[-2:]}:{raw_last.isalpha()}")
     if code is None and raw_last.isalpha():
         out.append(f"word:{raw_last.lower()}")
+        if known is not None:
+            n, closes = known.get(raw_last.lower(), (0, 0))
+            if own:
+                n, closes = max(0, n - 1), max(0, closes - 1)
+            out.append(f"known:{min(5, n.bit_length())}:{-1 if n < 4 else min(4, int(16 * closes / n))}:{raw_last.isascii()}")
     if code is None:
         cut = [m for m in _STOP.finditer(tail)]
         begin = cut[-1].end() if cut and cut[-1].end() < len(tail) else (cut[-2].end() if len(cut) > 1 else 0)
@@ -158,11 +192,11 @@ def cut(value: str, rng: np.random.Generator, trace: bool = True) -> str | None:
     at = int(rng.integers(8, n)) if rng.random() < 0.6 else int(n - rng.integers(1, min(n - 8, 260)))
     out = value[:at]
     rest = out.rstrip()
-    _, inside = features(out, None)
+    _, inside = features(out)
     if not inside and (not rest or rest[-1] in ".!?。！？:`>)}|" or rest.endswith("endmodule") or value[at : at + 1] in (".", "\n") or not value[at:].strip("` \n")):
         return None
     if trace and rng.random() < 0.25:
-        mark = ("…", "...", f"... [+{rng.integers(5, 900)} chars]", "�", "[truncated]", f"[cut: {rng.integers(5, 900)}]", f"… ({rng.integers(5, 900)} more)", "<", "\\", "&am", "&l")
+        mark = ("…", "...", f"... [+{rng.integers(5, 900)} chars]", "�", "[truncated]", f"[cut: {rng.integers(5, 900)}]", f"… ({rng.integers(5, 900)} more)", "<", "\\", "&am", "&l", "\\u", "\\u00", "\\x", "&", " \"", " (", " [", " {", "`", " ``", "</", "<b")
         out += mark[int(rng.integers(len(mark)))]
     return out
 
@@ -190,9 +224,10 @@ class CutModel:
     model: Linear
     level: float
     limits: frozenset[tuple[str, int]]
+    known: dict[str, tuple[int, int]]
 
     def scores(self, values: list[str], sources: list[str | None]) -> np.ndarray:
-        rows = [hashed(features(v, (s, len(v)) in self.limits)[0]) for v, s in zip(values, sources, strict=True)]
+        rows = [hashed(features(v, near_limit(s, len(v), self.limits), self.known)[0]) for v, s in zip(values, sources, strict=True)]
         return self.model.margin(Rows.of(rows))[:, 0] if rows else np.zeros(0)
 
     def is_cut(self, values: list[str], sources: list[str | None]) -> np.ndarray:
@@ -200,23 +235,24 @@ class CutModel:
 
 
 def fit(intact: list[tuple[str, str | None]], limits: frozenset[tuple[str, int]] = frozenset(), *, copies: int = 2, rounds: int = 3, seed: int = 11) -> CutModel:
-    """Fit on values taken as intact; some may be cut unseen, so what one round scores as cut is left out of the next.
+    """Fit on values taken as intact; some may be cut unseen, so values of just a limit's length are no example of intact ones, and what one round scores as cut is left out of the next.
 
     A fifth of the values is held back to choose the threshold, weighted so
     that one value in twenty counts as cut.
     """
     rng = np.random.default_rng(seed)
+    known = vocabulary([v for v, _ in intact])
     base: list[np.ndarray] = []
     made: list[list[np.ndarray]] = []
     bare: list[np.ndarray | None] = []
     for v, s in intact:
-        base.append(hashed(features(v, (s, len(v)) in limits)[0]))
+        base.append(hashed(features(v, near_limit(s, len(v), limits), known, own=True)[0]))
         stripped = v.rstrip()
         other = stripped[:-1] if stripped.endswith((".", "。")) else damaged(v, rng)
-        bare.append(hashed(features(other, False)[0]) if other and rng.random() < 0.4 else None)
+        bare.append(hashed(features(other, "no", known, own=True)[0]) if other and rng.random() < 0.4 else None)
         cuts = [c for c in (cut(v, rng) for _ in range(copies)) if c]
-        made.append([hashed(features(c, bool(limits) and rng.random() < 0.3)[0]) for c in cuts])
-    keep = np.ones(len(intact), bool)
+        made.append([hashed(features(c, "0" if limits and rng.random() < 0.3 else "no", known)[0]) for c in cuts])
+    keep = np.array([(s, len(v)) not in limits for v, s in intact], bool)
     held = rng.random(len(intact)) < 0.2
     model, level = Linear(np.zeros((1 << 18, 1), np.float32), np.zeros(1)), 0.0
     for _ in range(rounds):
@@ -231,24 +267,29 @@ def fit(intact: list[tuple[str, str | None]], limits: frozenset[tuple[str, int]]
             break
         every, y, part = Rows.of(rows), np.array(y), np.array(part)
         train = np.flatnonzero(~part)
-        model = fit_logistic(Rows.of([rows[i] for i in train.tolist()]), y[train])
+        model = fit_logistic(every.take(train), y[train])
         score = model.margin(every)[:, 0]
         test = np.flatnonzero(part)
         share = max(1, (y[test] > 0).sum()) / max(1, (y[test] == 0).sum())
         level = threshold(score[test], y[test], np.where(y[test] > 0, 1 / 19 / share, 1.0)) if len(test) else 0.0
         keep &= model.margin(Rows.of(base))[:, 0] < 0
-    return CutModel(model, level, limits)
+    return CutModel(model, level, limits, known)
+
+
+def value_lengths(long: DataFrame, intact: str) -> DataFrame:
+    """(source, n, count, intact): values of each length by field and source, from all rows; as many rows as there are lengths, so it is kept for what follows."""
+    return checkpointed(long.groupBy(F.concat_ws("|", "field", F.coalesce("source", F.lit(""))).alias("source"), "field", F.length("value").alias("n")).agg(F.count("*").alias("count"), F.count_if(F.expr(intact)).alias("intact")))
 
 
-def length_limits(long: DataFrame, *, ratio: float = LIMIT_RATIO, least: int = LIMIT_LEAST) -> frozenset[tuple[str, int]]:
-    """Lengths at which the values of a source pile up, from the lengths of all rows.
+def length_limits(lengths: DataFrame, *, ratio: float = LIMIT_RATIO, least: int = LIMIT_LEAST, near: int = LIMIT_NEAR) -> frozenset[tuple[str, int]]:
+    """Lengths at which the values of a source pile up; the number of limits found is small.
 
-    ``long`` has columns source, value. Pre-aggregated by (source, length)
-    before anything is compared; the number of limits found is small.
+    ``lengths`` as of :func:`value_lengths`. A length is compared with those
+    around it, of which 2 * near there are, so that limits where few texts
+    end are found as well.
     """
-    n = long.where("length(value) > 64").groupBy("source", F.length("value").alias("n")).count()
-    mean = F.avg("count").over(Window.partitionBy("source"))
-    rows = n.withColumn("mean", mean).where((F.col("count") >= least) & (F.col("count") > ratio * F.col("mean"))).select("source", "n")
+    around = F.sum("count").over(Window.partitionBy("source").orderBy("n").rangeBetween(-near, near)) - F.col("count")
+    rows = lengths.where("n > 64").withColumn("mean", (around + 2) / (2.0 * near)).where((F.col("count") >= least) & (F.col("count") > ratio * F.col("mean"))).select("source", "n")
     return frozenset((r[0], r[1]) for r in bounded_rows(rows, 1_000_000, "the length limits"))
 
 
@@ -259,18 +300,31 @@ def long_form(df: DataFrame, key: str, source: str, fields: list[str], *keep: st
     return flat.select("key", "source", *[f"_{x}" for x in keep], "e.field", "e.value").where("length(trim(value)) > 0")
 
 
+def sampled_values(long: DataFrame, lengths: DataFrame, intact: str, sample: int) -> list[tuple[str, str | None]]:
+    """At most ``sample`` (value, field|source) of each field for which ``intact`` holds, by a hash of the key, in one scan for all fields."""
+    total = {r[0]: r[1] for r in bounded_rows(lengths.groupBy("field").agg(F.sum("intact")), 1000, "the fields")}
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    # a hash range that keeps somewhat more than wanted, so that no task sends many more
+    share = F.lit(0)
+    for field, n in total.items():
+        share = F.when(F.col("field") == field, int(min(1.0, (1.2 * sample + 100) / max(1, n)) * (1 << 20)) + 1).otherwise(share)
+    rows = long.where(intact).where(h < share).select("field", "value", "source", h.alias("h"), "key").collect()
+    rows.sort(key=lambda r: (r.field, r.h, r.key))
+    out, used = [], Counter()
+    for r in rows:
+        used[r.field] += 1
+        if used[r.field] <= sample:
+            out.append((r.value, f"{r.field}|{r.source or ''}"))
+    return out
+
+
 def fit_cut_model(long: DataFrame, intact: str, *, sample: int = SAMPLE) -> CutModel:
     """Fit on at most ``sample`` values of each field for which the condition ``intact`` holds, chosen by a hash of the key.
 
     ``long`` as of :func:`long_form`. Limits come from all rows.
     """
-    limits = length_limits(long.select(F.concat_ws("|", "field", F.coalesce("source", F.lit(""))).alias("source"), "value"))
-    fields = [r[0] for r in bounded_rows(long.select("field").distinct(), 1000, "the fields")]
-    chosen: list[tuple[str, str | None]] = []
-    for f in sorted(fields):
-        own = hash_sample(long.where(F.col("field") == f).where(intact).select("value", "source", "key"), ["key"], sample)
-        chosen += [(r[0], f"{f}|{r[1] or ''}") for r in own.collect()]
-    return fit(chosen, limits)
+    lengths = value_lengths(long, intact)
+    return fit(sampled_values(long, lengths, intact, sample), length_limits(lengths))
 
 
 def score_values(long: DataFrame, model: CutModel) -> DataFrame:

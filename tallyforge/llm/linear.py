@@ -18,24 +18,37 @@ def hashed(features: list[str], bits: int = BITS) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """Feature numbers of many rows, one after the other."""
+    """Feature numbers of many rows, one after the other, and their values (1 where none are given)."""
 
     index: np.ndarray
     first: np.ndarray
+    value: np.ndarray | None = None
 
     @classmethod
-    def of(cls, rows: list[np.ndarray]) -> Rows:
-        return cls(np.concatenate([*rows, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64))
+    def of(cls, rows: list[np.ndarray], values: list[np.ndarray] | None = None) -> Rows:
+        first = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+        return cls(np.concatenate([*rows, np.zeros(0, np.int32)]), first, None if values is None else np.concatenate([*values, np.zeros(0, np.float32)]))
 
     def __len__(self) -> int:
         return len(self.first) - 1
 
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of some rows, and for each the place of its row in ``which``."""
+    def take(self, which: np.ndarray) -> Rows:
+        """Some rows."""
         n = (self.first[1:] - self.first[:-1])[which]
-        row = np.repeat(np.arange(len(which)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[which], n)
-        return self.index[at], row
+        to = np.concatenate(([0], np.cumsum(n)))
+        at = np.arange(to[-1]) - np.repeat(to[:-1], n) + np.repeat(self.first[which], n)
+        return Rows(self.index[at], to, None if self.value is None else self.value[at])
+
+    def row(self) -> np.ndarray:
+        """The row of every feature."""
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+    def beside(self, other: Rows) -> Rows:
+        """The features of both, row by row."""
+        row = np.concatenate((self.row(), other.row()))
+        by = np.argsort(row, kind="stable")
+        one = lambda r: np.ones(len(r.index), np.float32) if r.value is None else r.value
+        return Rows(np.concatenate((self.index, other.index))[by], self.first + other.first, np.concatenate((one(self), one(other)))[by])
 
 
 @dataclass
@@ -46,10 +59,11 @@ class Linear:
     bias: np.ndarray
 
     def margin(self, rows: Rows) -> np.ndarray:
-        index, row = rows.take(np.arange(len(rows)))
+        row = rows.row()
         out = np.empty((len(rows), len(self.bias)))
         for k in range(len(self.bias)):
-            out[:, k] = np.bincount(row, self.weights[index, k], len(rows)) + self.bias[k]
+            w = self.weights[rows.index, k]
+            out[:, k] = np.bincount(row, w if rows.value is None else w * rows.value, len(rows)) + self.bias[k]
         return out
 
 
@@ -68,12 +82,14 @@ def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *,
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             which = order[at : at + batch]
-            index, row = rows.take(which)
+            own_rows = rows.take(which)
+            index, row, value = own_rows.index, own_rows.row(), own_rows.value
             used, back = np.unique(index, return_inverse=True)
             for k in range(labels):
-                z = np.bincount(row, w[index, k], len(which)) + bias[k]
+                x = w[index, k] if value is None else w[index, k] * value
+                z = np.bincount(row, x, len(which)) + bias[k]
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[which, k]) * weight[which]
-                own = np.bincount(back, g[row], len(used)) / len(which) + l2 * w[used, k]
+                own = np.bincount(back, g[row] if value is None else g[row] * value, len(used)) / len(which) + l2 * w[used, k]
                 seen[used, k] += own**2
                 w[used, k] -= step * own / np.sqrt(seen[used, k])
                 total = g.mean()
