@@ -38,7 +38,7 @@ _CODE_START = re.compile(r"\s*(?:`timescale|module\b|import\b|from\b|library\b|e
 _BLOCK = re.compile(r"\b(module|endmodule|begin|end|case|endcase|function|endfunction|task|endtask|entity|architecture|process|generate|endgenerate)\b")
 _OPENS = {"module": "module", "begin": "begin", "case": "case", "function": "function", "task": "task", "generate": "generate"}
 _CLOSES = {"endmodule": "module", "end": "begin", "endcase": "case", "endfunction": "function", "endtask": "task", "endgenerate": "generate"}
-_STOP = re.compile(r"[.!?:](?=\s|$)|[。！？]|\n\n")
+_STOPS, _CLOSING = (". ", ".\n", "! ", "!\n", "? ", "?\n", ": ", ":\n", "\n\n", "。", "！", "？"), tuple(".!?:。！？")
 
 
 #: Bare placeholders that stand for a missing value (fixed values).
@@ -151,9 +151,9 @@ def features(value: str, limit: str = "no", known: dict[str, tuple[int, int]] |
         state = _code_state(code)
         out += state
         inside = inside or any(x.endswith(")1") or x.endswith("1") and x.startswith(("c:(", "c:[", "c:{", "c:module", "c:begin", "c:case")) or x == "c:commentTrue" for x in state)
-    tail = t[-400:]
-    tokens = [_word(x) for x in _TOKEN.findall(tail)]
-    raw_last = tail.split()[-1] if tail.split() else ""
+    # six tokens are rarely longer than this; of longer ones fewer are compared
+    tokens = [_word(x) for x in _TOKEN.findall(t[-160:])][-6:]
+    raw_last = t[-80:].split()[-1] if tokens else ""
     for n in (1, 2, 3, 4, 6):
         out.append(f"{kind}{n}:" + " ".join(tokens[-n:]))
     out.append(f"char:{kind}:{t[-1:] if not t[-1:].isalnum() else 'x'}")
@@ -166,15 +166,14 @@ def features(value: str, limit: str = "no", known: dict[str, tuple[int, int]] |
                 n, closes = max(0, n - 1), max(0, closes - 1)
             out.append(f"known:{min(5, n.bit_length())}:{-1 if n < 4 else min(4, int(16 * closes / n))}:{raw_last.isascii()}")
     if code is None:
-        cut = [m for m in _STOP.finditer(tail)]
-        begin = cut[-1].end() if cut and cut[-1].end() < len(tail) else (cut[-2].end() if len(cut) > 1 else 0)
-        sentence = [_word(x) for x in _TOKEN.findall(tail[begin:])]
-        stopped = bool(cut) and cut[-1].end() >= len(tail)
-        head = " ".join(sentence[:2])
-        commas = sum(x in (",", ";") for x in sentence)
-        out += [f"stop:{stopped}", f"head:{head}:{stopped}", f"s3:{head}:{commas}:" + " ".join(sentence[-3:]), f"s2:{sentence[0] if sentence else ''}:{commas}:{';' in sentence}:" + " ".join(sentence[-2:]), f"len:{min(len(sentence), 20)}:{stopped}"]
-        last_line = t.rsplit("\n", 1)[-1]
-        out.append("line:" + " ".join(_word(x) for x in _TOKEN.findall(last_line)[:8]))
+        stopped = t[-1:] in _CLOSING
+        sentence = t[max(t.rfind(x, 0, len(t) - 1) + len(x) if x in t else 0 for x in _STOPS) :]
+        first = [_word(x) for x in _TOKEN.findall(sentence[:80])[:2]]
+        head, n_commas, size = " ".join(first), sentence.count(",") + sentence.count(";"), sentence.count(" ")
+        out += [f"stop:{stopped}", f"head:{head}:{stopped}", f"s3:{head}:{n_commas}:" + " ".join(tokens[-3:]), f"s2:{head.partition(' ')[0]}:{n_commas}:{';' in sentence}:" + " ".join(tokens[-2:]), f"len:{min(size, 20)}:{stopped}"]
+        before, _, line = t.rpartition("\n")
+        out.append("line:" + " ".join(_word(x) for x in _TOKEN.findall(line[:120])[:8]))
+        out.append(f"alone:{min(6, line.count(' '))}:{before[-1:] == chr(10)}:{before.rstrip()[-1:] in _CLOSING}:{'endmodule' in before[-14:]}")
     return out, inside
 
 

@@ -68,10 +68,11 @@ class Linear:
 
 
 def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7) -> Linear:
-    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches."""
+    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches; ``weight`` is one per row, or per row and label."""
     y = (y[:, None] if y.ndim == 1 else y).astype(float)
     labels = y.shape[1]
     weight = np.ones(len(rows)) if weight is None else weight
+    weight = np.repeat(weight[:, None], labels, axis=1) if weight.ndim == 1 else weight
     w = np.zeros((1 << bits, labels), np.float32)
     seen = np.full((1 << bits, labels), 1e-6, np.float32)
     bias, bias_seen = np.zeros(labels), np.full(labels, 1e-6)
@@ -88,7 +89,7 @@ def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *,
             for k in range(labels):
                 x = w[index, k] if value is None else w[index, k] * value
                 z = np.bincount(row, x, len(which)) + bias[k]
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[which, k]) * weight[which]
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[which, k]) * weight[which, k]
                 own = np.bincount(back, g[row] if value is None else g[row] * value, len(used)) / len(which) + l2 * w[used, k]
                 seen[used, k] += own**2
                 w[used, k] -= step * own / np.sqrt(seen[used, k])

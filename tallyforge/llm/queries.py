@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import cuts, leaks, neardup, packing, pairs, reading, syntax
-from tallyforge.runtime import checkpointed, table
+from tallyforge.runtime import table
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,11 +70,10 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     expanded = table(spark, folder, "expanded")
     # the data sets of kernels ask for Python, the others for Verilog
     family = F.when(F.col("source_dataset").rlike("^(kernelbench|tritonbench)"), "python").when(F.col("source_dataset").isNotNull(), "verilog")
-    own = expanded.select(F.col("record_no").alias("key"), F.col("expanded_prompt").alias("prompt"), F.col("reference_solution").alias("answer"), family.alias("family"), F.lit(None).cast("string").alias("source"))
-    prompts = expanded.select(F.col("record_no").alias("expanded_no"), F.col("expanded_prompt").alias("prompt"), family.alias("family"))
-    answers = table(spark, folder, "llm_responses").select("expanded_no", F.col("response_no").alias("key"), F.col("content").alias("answer"), "source", "finish_reason", "truncated")
-    joined = checkpointed(answers.join(prompts, "expanded_no", "left"))
-    return pairs.defective_pairs({"expanded": (own, "true", False), "response": (joined, "finish_reason = 'stop' and not truncated", True)})
+    prompts = expanded.select(F.col("record_no").alias("prompt_key"), F.col("expanded_prompt").alias("prompt"), family.alias("family"))
+    own = expanded.select(F.col("record_no").alias("key"), F.col("record_no").alias("prompt_key"), F.col("reference_solution").alias("answer"), F.lit(None).cast("string").alias("source"))
+    answers = table(spark, folder, "llm_responses").select(F.col("response_no").alias("key"), F.col("expanded_no").alias("prompt_key"), F.col("content").alias("answer"), "source", "finish_reason", "truncated")
+    return pairs.defective_pairs(prompts, {"expanded": (own, "true", False), "response": (answers, "finish_reason = 'stop' and not truncated", True)})
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import cuts, leaks, linear, neardup, pairs, syntax, tokens
+from tallyforge.llm import cuts, languages, leaks, linear, neardup, pairs, syntax, tokens
 from tallyforge.llm.fmindex import FMIndex, suffix_array
 
 
@@ -161,35 +161,59 @@ def test_python_suspects_hold_all_that_does_not_parse():
 
 
 def test_answers():
-    assert not any(pairs.essence(x) for x in [None, "", " \n", "\u200b", "```\n```", "<answer></answer>", "<think>a b</think>", "<think>a</think>\n<answer>\n</answer>", "N/A", "...", "// TODO", "/* your code here */\n", "# TODO: implement"])
-    assert all(pairs.essence(x) for x in ["module a; endmodule", "No.", "// keep x\nmodule a; endmodule", "<think>a</think> b c"])
-    assert [pairs.language(x) for x in ("the cat is on the mat", "der Hund ist nicht da und die Katze", "le chat est dans la maison", "el perro y la casa", "如果信号保持无效", "xx yy")] == ["en", "de", "fr", "es", "zh", None]
-    assert [pairs.code_language(x) for x in ("module a; assign b = c; endmodule", "def f():\n    return torch.x", "library ieee;\nentity a is\narchitecture b", "plain words")] == ["verilog", "python", "vhdl", None]
-    assert pairs.asked("Write it. Please give the explanation in German.", None).natural == "de"
-
-
-def test_pair_classifier(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/expanded.parquet").orderBy("record_no").limit(500).collect()
-    rows = [("e", r.expanded_prompt, r.reference_solution, "python" if r.source_dataset.startswith(("kern", "triton")) else "verilog", None) for r in e]
-    cut = {"e": cuts.fit([(r[2], None) for r in rows if r[2] and r[2].strip()][:300])}
-    model = pairs.fit(rows[:300], cut)
-    test = [r for r in rows[300:] if r[2] and r[2].strip()]
-    verdict = lambda answers: model.defects("e", [r[1] for r in test], answers, [r[3] for r in test], [None] * len(test))
+    assert not any(re.search(r"\w", pairs.essence(x)) for x in [None, "", " \n", "\u200b", "```\n```", "<answer></answer>", "<think>a b</think>", "<think>a</think>\n<answer>\n</answer>"])
+    assert pairs.essence("<think>a</think> b c") == "b c" and pairs.essence("// keep x\nmodule a; endmodule").startswith("//")
+    assert pairs.split("Here it is.\n```verilog\nmodule a;\n```\nDone.")[0].strip() == "module a;"
+    code, prose = pairs.split("Here it is.\n// note\nmodule a;\nendmodule\nDone.")
+    assert code == "module a;\nendmodule" and prose.split() == ["Here", "it", "is.", "Done."]
+    assert pairs.code_languages(["module a; assign b = c; endmodule", "def f():\n    return torch.x", "library ieee;\nentity a is\narchitecture b", "plain words", ""]) == ["verilog", "python", "vhdl", None, None]
+    assert pairs.asked("Write it. Please give the explanation in German.") == "de" and pairs.asked("Write it.") is None
+
+
+def test_languages(spark):
+    prompts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/expanded.parquet").where("expanded_prompt is not null").orderBy("record_no").select("expanded_prompt").limit(1500).collect()]
+    model = languages.Languages.fit(prompts, ["module a;\n  assign b_1 = c_2;\nendmodule\n"] * 20)
+    assert set(model.names) == {"en", "de", "fr", "es", "zh", "code"}
+    held = {"en": "Here is a plain description of what the unit does, written in other words.", "de": "Hier ist das gewünschte Modul mit einer kurzen Erklärung der Ports.", "fr": "Le module lit le mot suivant et la sortie reste inactive jusqu'au prochain cycle.", "es": "El módulo lee la palabra y después la guarda en la cola del contador."}
+    assert model.languages(list(held.values())) == list(held)
+    others = ["Модуль сначала читает слово и затем записывает его в память, если сигнал низкий.", "このモジュールは最初に単語を読み取り、次にメモリに書き込みます。信号が低い場合。", "이 모듈은 먼저 단어를 읽고 메모리에 씁니다. 신호가 낮으면 카운터는 변하지 않습니다.", "Modulen läser först ordet och skriver sedan in det i minnet när signalen är låg."]
+    assert not {"en", "de", "fr", "es", "zh", None} & set(model.languages(others))
+    assert model.languages(["", "x_1 = 2;", "12"]) == [None] * 3 and languages.Languages.fit([], []).languages(["some words of prose here"]) == [None]
+
+
+def test_pair_classifier(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.1/expanded.parquet").orderBy("record_no").limit(1400).collect()
+    rows = [(r.expanded_prompt, r.reference_solution, "python" if r.source_dataset.startswith(("kern", "triton")) else "verilog", None) for r in e]
+    # every third wording of a refusal is held out of the fit
+    every = pairs._REFUSALS
+    monkeypatch.setattr(pairs, "_REFUSALS", [x for i, x in enumerate(every) if i % 3])
+    model = pairs.fit(rows[:1000])
+    monkeypatch.setattr(pairs, "_REFUSALS", every[::3])
+    test = [r for r in rows[1000:] if r[1] and r[1].strip()]
+    verdict = lambda answers: model.defects([r[0] for r in test], answers, [r[2] for r in test], [None] * len(test))
     rng = np.random.default_rng(1)
     assert verdict([""] * len(test))[:, 0].all() and verdict([None] * len(test)).sum() == len(test)
-    assert verdict([pairs._refusal(rng, "x_y", "It is so.") for _ in test])[:, 2].mean() > 0.9
-    assert verdict(["Task: " + r[1].lower() for r in test])[:, 3].mean() > 0.9
-    assert verdict(["entity a is\nlibrary ieee;\narchitecture rtl of a is\nbegin\nend process;\nend architecture;\n" for _ in test])[:, 4].mean() > 0.9
-    assert verdict([r[2] for r in test]).any(axis=1).mean() < 0.15
+    assert verdict([pairs._emptied(rng, "It is so.") for _ in test])[:, 0].mean() > 0.95
+    new_wording = verdict([pairs._refusal(rng, "x_y", "It is so.") for _ in test])[:, 2].mean()
+    monkeypatch.setattr(pairs, "_REFUSALS", [x for i, x in enumerate(every) if i % 3])
+    assert verdict([pairs._refusal(rng, "x_y", "It is so.") for _ in test])[:, 2].mean() > 0.97 and new_wording > 0.6
+    # a refusal stays one however long its excuse is
+    assert verdict([pairs._refusal(rng, "x_y", "It is so.") + " The topic may be restricted." * 30 for _ in test])[:, 2].mean() > 0.9
+    assert verdict(["Task: " + r[0].lower() for r in test])[:, 3].mean() > 0.97
+    cut = [(r, c) for r in test if (c := cuts.cut(r[1], rng))]
+    assert model.defects([r[0] for r, _ in cut], [c for _, c in cut], [r[2] for r, _ in cut], [None] * len(cut))[:, 1].mean() > 0.9
+    assert verdict(["entity a is\nlibrary ieee;\narchitecture rtl of a is\nbegin\nend process;\nend architecture;\n" for _ in test])[:, 4].mean() > 0.97
+    assert verdict([r[1] for r in test]).any(axis=1).mean() < 0.12
 
 
 def test_pairs_edges(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/expanded.parquet").orderBy("record_no").limit(250)
-    base = e.select(F.col("record_no").alias("key"), F.col("expanded_prompt").alias("prompt"), F.col("reference_solution").alias("answer"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("defect"))
-    odd = spark.createDataFrame([(-1, None, None, None, None, 1), (-2, "p", "", None, None, 1), (-2, "p", "", None, None, 1), (-3, None, "module a; endmodule", None, None, 1)], "key long, prompt string, answer string, family string, source string, defect int")
-    got = sorted((r.pair_key, r.defect) for r in pairs.defective_pairs({"k": (base.unionByName(odd), "true", False)}, sample=120, cut_sample=120).where("pair_key < 0 and defect = 'empty'").collect())
+    prompts = e.select(F.col("record_no").alias("prompt_key"), F.col("expanded_prompt").alias("prompt"), F.lit(None).cast("string").alias("family"), F.lit(2).alias("answer"))
+    base = e.select(F.col("record_no").alias("key"), F.col("record_no").alias("prompt_key"), F.col("reference_solution").alias("answer"), F.lit(None).cast("string").alias("source"), F.lit(1).alias("defect"), F.lit("x").alias("prompt"))
+    odd = spark.createDataFrame([(-1, None, None, None, 1, None), (-2, -5, "", None, 1, ""), (-2, -5, "", None, 1, ""), (-3, None, "module a; endmodule", None, 1, "")], "key long, prompt_key long, answer string, source string, defect int, prompt string")
+    got = sorted((r.pair_key, r.defect) for r in pairs.defective_pairs(prompts, {"k": (base.unionByName(odd), "true", True)}, sample=120).where("pair_key < 0 and defect = 'empty'").collect())
     assert got == [(-2, "empty"), (-2, "empty"), (-1, "empty")]
-    assert pairs.defective_pairs({"k": (odd.limit(0), "true", False)}).collect() == []
+    assert pairs.defective_pairs(prompts.limit(0), {"k": (odd.limit(0), "true", False)}).collect() == []
 
 
 def brute(rows, t, k=3, least=30):
