@@ -39,6 +39,14 @@ class Rows:
         at = np.arange(to[-1]) - np.repeat(to[:-1], n) + np.repeat(self.first[which], n)
         return Rows(self.index[at], to, None if self.value is None else self.value[at])
 
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        """The rows of all parts, one part after the other."""
+        base = np.cumsum([0, *(p.first[-1] for p in parts)])
+        first = np.concatenate([np.zeros(1, np.int64), *(p.first[1:] + b for p, b in zip(parts, base[:-1], strict=True))])
+        value = None if any(p.value is None for p in parts) else np.concatenate([np.zeros(0, np.float32), *(p.value for p in parts)])
+        return cls(np.concatenate([np.zeros(0, np.int32), *(p.index for p in parts)]), first, value)
+
     def row(self) -> np.ndarray:
         """The row of every feature."""
         return np.repeat(np.arange(len(self)), np.diff(self.first))
@@ -67,8 +75,8 @@ class Linear:
         return out
 
 
-def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7) -> Linear:
-    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches; ``weight`` is one per row, or per row and label."""
+def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7, among: np.ndarray | None = None) -> Linear:
+    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches; ``weight`` is one per row, or per row and label; ``among`` are the rows to fit on (all by default)."""
     y = (y[:, None] if y.ndim == 1 else y).astype(float)
     labels = y.shape[1]
     weight = np.ones(len(rows)) if weight is None else weight
@@ -77,10 +85,11 @@ def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *,
     seen = np.full((1 << bits, labels), 1e-6, np.float32)
     bias, bias_seen = np.zeros(labels), np.full(labels, 1e-6)
     rng = np.random.default_rng(seed)
-    batch = max(64, min(batch, len(rows) // 24))  # small samples need as many steps
-    for epoch in range(epochs if len(rows) else 0):
+    among = np.arange(len(rows)) if among is None else among
+    batch = max(64, min(batch, len(among) // 24))  # small samples need as many steps
+    for epoch in range(epochs if len(among) else 0):
         step = rate / (1 + 0.3 * epoch) * 4
-        order = rng.permutation(len(rows))
+        order = rng.permutation(among)
         for at in range(0, len(order), batch):
             which = order[at : at + batch]
             own_rows = rows.take(which)
