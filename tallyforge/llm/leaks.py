@@ -30,12 +30,12 @@ from tallyforge.llm.tokens import ANY_WORD, LOWER, chunks, words
 from tallyforge.runtime import bounded_rows
 
 #: Bounds and lengths of the search; all are parameters of :func:`find_leaks`.
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_BYTES = 20_000, 256_000_000
 EXACT_WORDS = 18
 EDITED_WORDS = 30
 EDIT_SHARE = 0.15
 STOCK_WORDS, STOCK_GROUPS = 8, 3
-SEED_WORDS, SEED_GROUPS = 5, 8
+SEED_WORDS = 5
 SHARD_BYTES, SHARD_WORDS = 12_000_000, 600_000
 
 _DROPPED = b"'-_\\*`~"
@@ -84,14 +84,16 @@ class Probe:
     seeds: list[tuple[np.ndarray, list[np.ndarray]]]  # phrases of one length, and for each its (prompt, place) rows
 
 
-def probe(items: list[tuple[str, str]], seed_words: int = SEED_WORDS, seed_groups: int = SEED_GROUPS) -> Probe:
+def probe(items: list[tuple[str, str]], seed_words: int = SEED_WORDS, seed_groups: int | None = None) -> Probe:
     """Number the words of the held-out prompts and choose the phrases to search.
 
-    Phrases of ``seed_words`` words found in at most ``seed_groups`` groups
-    are searched; where all of these in a row are more frequent, so are the
-    phrases of ``STOCK_WORDS`` words that are not stock wording, so that every
-    unaltered passage of counting words holds a searched phrase.
+    All phrases of ``seed_words`` words are searched but those within stock
+    wording. With ``seed_groups``, only those found in at most so many groups
+    are, and where all of these in a row are more frequent, the phrases of
+    ``STOCK_WORDS`` words that are not stock wording: this is faster and still
+    finds every unaltered passage, but not every altered one.
     """
+    seed_groups = len(items) if seed_groups is None else seed_groups
     items = [(g, t) for g, t in items if g is not None and t]
     w = words([plain(t) for _, t in items], ANY_WORD)
     vocabulary = np.unique(w.hash)
@@ -285,18 +287,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _OUT = pa.schema([("corpus", pa.string()), ("record_key", pa.int64()), ("contamination_group", pa.string()), ("spans", pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32())])))])
 
 
-def find_leaks(corpora: dict[str, tuple[DataFrame, str, str]], held_out: DataFrame, group: str, prompt: str, *, max_items: int = MAX_ITEMS, exact_words: int = EXACT_WORDS, edited_words: int = EDITED_WORDS, edit_share: float = EDIT_SHARE, seed_words: int = SEED_WORDS, seed_groups: int = SEED_GROUPS) -> DataFrame:
+def find_leaks(corpora: dict[str, tuple[DataFrame, str, str]], held_out: DataFrame, group: str, prompt: str, *, max_items: int = MAX_ITEMS, exact_words: int = EXACT_WORDS, edited_words: int = EDITED_WORDS, edit_share: float = EDIT_SHARE, seed_words: int = SEED_WORDS, seed_groups: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row (corpus, record_key, contamination_group, spans) per record and held-out group that leaked into it.
 
     ``corpora`` maps a name to a table and its key and text columns. ``spans``
     are the merged half-open ranges of words to remove (words of the
-    normalised text). The held-out set must have at most ``max_items`` rows
-    (checked, an error otherwise); the corpora may have any size and are read
+    normalised text). The held-out set must have at most ``max_items`` rows and
+    ``max_bytes`` of text (checked, an error otherwise); the corpora may have any size and are read
     once, without a shuffle. Rows with a null key, text or group, and blank
     texts, give no row; repeated rows each give theirs; other columns are
     ignored; empty tables give an empty result.
     """
     spark = held_out.sparkSession
+    size = held_out.agg(F.coalesce(F.sum(F.octet_length(prompt)), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"the held-out set has more than {max_bytes} bytes; raise the bound or search it part by part")
     rows = bounded_rows(held_out.select(F.col(group).cast("string"), F.col(prompt)), max_items, "the held-out set")
     shared = spark.sparkContext.broadcast(probe([(r[0], r[1]) for r in rows], seed_words, seed_groups))
 

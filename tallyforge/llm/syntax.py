@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -319,10 +320,11 @@ def python_parses(text: str) -> bool:
     return True
 
 
-_LEXED = "record_table string, record_key long, repo string, language string, classes string, suspect boolean, text string"
+_LEXED = "record_table string, record_key long, repo string, language string, classes string, suspect boolean, text string, file string"
 
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, done = TaskContext.get().partitionId(), 0
     for b in batches:
         name, key, repo, language, text = (c.to_pylist() for c in b.columns)
         classes = [lex_verilog(t) if lang == "verilog" else lex_python(t) for lang, t in zip(language, text, strict=True)]
@@ -331,8 +333,10 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [i for i, x in enumerate(language) if x == lang]
             for i, bad in zip(own, unparsed([classes[i] for i in own], lang), strict=True):
                 suspect[i] = bad
-        # only Python's text is needed again, by the check that follows
-        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(key, pa.int64()), pa.array(repo, pa.string()), pa.array(language, pa.string()), pa.array(classes, pa.string()), pa.array(suspect, pa.bool_()), pa.array([t if x == "python" else None for x, t in zip(language, text, strict=True)], pa.string())], names=["record_table", "record_key", "repo", "language", "classes", "suspect", "text"])
+        # keys may be repeated; what is written once tells the rows apart. Only Python's text is needed again, by the check that follows
+        file = [f"{task}-{done + i}" for i in range(len(text))]
+        done += len(text)
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(key, pa.int64()), pa.array(repo, pa.string()), pa.array(language, pa.string()), pa.array(classes, pa.string()), pa.array(suspect, pa.bool_()), pa.array([t if x == "python" else None for x, t in zip(language, text, strict=True)], pa.string()), pa.array(file, pa.string())], names=["record_table", "record_key", "repo", "language", "classes", "suspect", "text", "file"])
 
 
 def source_files(parts: dict[str, tuple[DataFrame, str, str, str, str]]) -> DataFrame:
@@ -356,10 +360,11 @@ def invalid_files(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     lexed = checkpointed(files.mapInArrow(_lex, _LEXED))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("classes") - 1), lambda i: F.substring("classes", i, F.lit(2))))
-    rows = lexed.where(F.length("classes") > 1).select("record_table", "record_key", "repo", "language", "text", F.explode(pairs).alias("pair"))
+    rows = lexed.where(~F.col("suspect") & (F.length("classes") > 1)).select("file", "language", F.explode(pairs).alias("pair"))
     permitted = spark.createDataFrame(permissible_pairs(), "language string, pair string")
-    odd = rows.join(F.broadcast(permitted), ["language", "pair"], "left_anti").select("record_table", "record_key", "repo", "language", "text")
-    suspects = odd.unionByName(lexed.where("suspect").select(*odd.columns)).dropDuplicates(["record_table", "record_key"])
+    odd = rows.join(F.broadcast(permitted), ["language", "pair"], "left_anti").select("file").distinct()
+    columns = ["record_table", "record_key", "repo", "language", "text"]
+    suspects = lexed.where("suspect").select(*columns).unionByName(lexed.join(odd, "file", "left_semi").select(*columns))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

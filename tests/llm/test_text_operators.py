@@ -119,11 +119,18 @@ def test_source_files(spark):
     extra = [(900, "a.v", None), (901, "a.sv", " \u200b\n"), (902, "a.txt", "((("), (903, None, "((("), (904, "a.v", "module a; " + "assign x = y; " * 20000 + "endmodule"), (905, "a.sv", "module ("), (905, "a.sv", "module (")]
     df = spark.createDataFrame([(k, p, t, None, "c") for k, p, t in rows + extra], "n long, path string, code string, repo string, classes string")
     bad = [r.record_key for r in syntax.invalid_files(syntax.source_files({"t": (df, "n", "path", "code", "repo")})).collect()]
-    want = [i for i, (_, _, t) in enumerate(rows) if t in BAD_V and i < len(GOOD_V + BAD_V) or i >= len(GOOD_V + BAD_V) and t in BAD_P] + [905]
+    want = [i for i, (_, _, t) in enumerate(rows) if t in BAD_V and i < len(GOOD_V + BAD_V) or i >= len(GOOD_V + BAD_V) and t in BAD_P] + [905, 905]  # repeated rows are judged each
     assert sorted(bad) == sorted(want)
     assert syntax.invalid_files(syntax.source_files({"t": (df.limit(0), "n", "path", "code", "repo")})).collect() == []
 
 
+def test_files_under_one_key_are_judged_each(spark):
+    rows = [(k, "a.py", t, None) for k in range(20) for t in ("x = lambda a: a\n", "x = (1\n")] + [(k, "a.v", t, None) for k in range(20) for t in ("module a; endmodule", "module a; assign x = ; endmodule")]
+    df = spark.createDataFrame(rows, "n long, path string, code string, repo string").repartition(4)
+    bad = [(r.record_key, r.language) for r in syntax.invalid_files(syntax.source_files({"t": (df, "n", "path", "code", "repo")})).collect()]
+    assert sorted(bad) == sorted((k, x) for k in range(20) for x in ("python", "verilog"))
+
+
 def test_verilog_items_beyond_assignments_and_processes():
     good = [
         "or g1(y, a, b);", "or (y, a, b);", "nand #(1, 2) g2(y, a, b), g3(y, b, a);", "(* keep *) wire x; (* full_case, parallel_case = 1 *) reg q;", "always @(*) (* full_case *) case (a) 0: y = 1; default: y = 0; endcase",
