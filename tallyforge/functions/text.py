@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+'[A-Za-z0-9]+|[0-9]+|[^ \t\r\n\fA-Za-z0-9_]"
+#: Tokens of normalised source: names, sized literals, numbers, single signs (fixed value).
+TOKEN = r"(?U)[a-z_]\w*|\d+'[bdho][0-9a-f_xz]+|\d+|\S"
+#: Comments; what looks like the start of one inside another is none.
+COMMENT = r"(?s)//[^\n]*|/\*.*?\*/"
 
 
 def normalised(text: Column) -> Column:
     """Comments dropped, lower case, tokens joined by one space."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
-    return F.array_join(F.regexp_extract_all(F.lower(bare), F.lit(TOKEN), F.lit(0)), " ")
+    return F.array_join(F.regexp_extract_all(F.lower(F.regexp_replace(text, COMMENT, " ")), F.lit(TOKEN), F.lit(0)), " ")
 
 
 def digest(text: Column) -> Column:
@@ -61,13 +63,30 @@ def modules(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)\bmodule\b.*?\bendmodule\b"), F.lit(0))
 
 
+#: Words that a port cannot be named (fixed value).
+KEYWORDS = "always and assign begin case else end endmodule for if inout input module not or output reg wire xor".split()
+_DECLARED = r"(?i)\b(input|output|inout)\b\s*(?:wire|reg|logic)?\s*(?:signed\b|unsigned\b)?\s*(?:\[\s*([^:\]]+)\s*:\s*([^\]]+)\s*\])?\s*([A-Za-z_]\w*)"
+
+
+def port_list(source: Column) -> Column:
+    """Declared ports as (direction, name, width) in order, each name once; those of the first module's header where there is one.
+
+    The width is 1 or the expression (msb)-(lsb)+1 as written.
+    """
+    header = F.regexp_extract(source, r"(?is)\bmodule\s+[A-Za-z_]\w*\s*\((.*?)\)\s*;", 1)
+    within = F.when(header == "", source).otherwise(header)
+    part = lambda i: F.regexp_extract_all(within, F.lit(_DECLARED), F.lit(i))
+    found = F.arrays_zip(part(1).alias("d"), part(2).alias("msb"), part(3).alias("lsb"), part(4).alias("n"))
+    named = F.filter(found, lambda p: ~F.lower(p["n"]).isin(*KEYWORDS))
+    names = F.transform(named, lambda p: p["n"])
+    once = F.filter(named, lambda p, i: F.array_position(names, p["n"]) == i + 1)
+    width = lambda p: F.when(F.coalesce(p["msb"], F.lit("")) == "", "1").otherwise(F.concat(F.lit("("), p["msb"], F.lit(")-("), p["lsb"], F.lit(")+1")))
+    return F.transform(once, lambda p: F.struct(F.lower(p["d"]).alias("direction"), p["n"].alias("name"), width(p).alias("width")))
+
+
 def ports(source: Column) -> Column:
     """Declared ports as 'direction width name', in order."""
-    pattern = r"\b(input|output|inout)[ ]+(?:reg |wire |logic )?(?:\[([0-9]+):[0-9]+\] )?([A-Za-z_][A-Za-z0-9_]*)"
-    return F.transform(
-        F.arrays_zip(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)).alias("d"), F.regexp_extract_all(source, F.lit(pattern), F.lit(2)).alias("w"), F.regexp_extract_all(source, F.lit(pattern), F.lit(3)).alias("n")),
-        lambda p: F.concat_ws(" ", p["d"], F.when(p["w"] == "", "1").otherwise((F.try_to_number(p["w"], F.lit("999999")).cast("int") + 1).cast("string")), p["n"]),
-    )
+    return F.transform(port_list(source), lambda p: F.concat_ws(" ", p["direction"], p["width"], p["name"]))
 
 
 def interface_digest(declared: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,8 @@ def seed_audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "root_tasks").select("root_no", F.array_join(issues, ",").alias("issues"), kind.alias("class"), F.regexp_count(text, F.lit(r"\balways")).alias("n_always"))
 
 
-@query("""
-with n as (select doc_id, sha256(array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '/\\*.*?\\*/', ' ', 'gs'), '//[^\\n]*', ' ', 'g')), '[A-Za-z_][A-Za-z0-9_]*|[0-9]+''[A-Za-z0-9]+|[0-9]+|[^ \\t\\r\\n\\fA-Za-z0-9_]'), ' ')) h from documents where text is not null)
+@query(r"""
+with n as (select doc_id, sha256(array_to_string(regexp_extract_all(regexp_replace(lower(text), '/\*(?:[^*]|\*+[^*/])*\*+/|//.*', ' ', 'g'), '[a-z_][_\pL\pM\p{Nd}\p{Pc}]*|\p{Nd}+''[bdho][xz_0-9a-f]+|\p{Nd}+|[^\s\pZ\x0b\x1c-\x1f\x{85}]'), ' ')) h from documents where text is not null)
 select h digest, min(doc_id) kept, count(*) n from n group by h
 """)
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -102,15 +104,17 @@ def fenced_blocks(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n_blocks > 0")
 
 
-@query("""
-with m as (select record_no, regexp_extract_all(reference_solution, '(?s)\\bmodule\\b.*?\\bendmodule\\b') x, regexp_extract_all(reference_solution, '\\b(input|output|inout)[ ]+(?:reg |wire |logic )?(?:\\[([0-9]+):[0-9]+\\] )?([A-Za-z_][A-Za-z0-9_]*)', 3) p from expanded where reference_solution is not null)
-select record_no, len(x) n_modules, len(p) n_ports, p[1] first_port from m
+@query(r"""
+with s as (select record_no, reference_solution t, regexp_extract(reference_solution, '(?is)\bmodule\s+[a-z_]\w*\s*\((.*?)\)\s*;', 1) h from expanded where reference_solution is not null),
+c as (select record_no, len(regexp_extract_all(t, '(?s)\bmodule\b.*?\bendmodule\b')) n_modules, unnest(list_prepend('', regexp_extract_all(case when h = '' then t else h end, '(?i)\b(?:input|output|inout)\b[^,;()]*'))) d, generate_subscripts(list_prepend('', regexp_extract_all(case when h = '' then t else h end, '(?i)\b(?:input|output|inout)\b[^,;()]*')), 1) i from s),
+p as (select record_no, n_modules, i, regexp_extract(d, '(?i)^(?:input|output|inout)\s*(?:wire|reg|logic)?\s*(?:signed\b|unsigned\b)?\s*(?:\[[^\]]*\])?\s*([a-z_]\w*)', 1) n, regexp_extract(d, '\[\s*([^:\]]+)\s*:', 1) msb from c),
+u as (select *, row_number() over (partition by record_no, n order by i) k from p)
+select record_no, any_value(n_modules) n_modules, count(*) filter (n <> '' and k = 1) n_ports, arg_min(n, i) filter (n <> '') first_port, count(*) filter (n <> '' and k = 1 and msb <> '') n_vectors from u group by record_no
 """)
 def module_ports(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("reference_solution")
-    ports = T.ports(s)
-    first = F.regexp_extract(F.try_element_at(ports, F.lit(1)), r"([^ ]+)$", 1)
-    return table(spark, d, "expanded").where("reference_solution is not null").select("record_no", F.size(T.modules(s)).cast("long").alias("n_modules"), F.size(ports).cast("long").alias("n_ports"), first.alias("first_port"))
+    ports = table(spark, d, "expanded").where("reference_solution is not null").select("record_no", F.size(T.modules(s)).cast("long").alias("n_modules"), T.port_list(s).alias("p"))
+    return ports.select("record_no", "n_modules", F.size("p").cast("long").alias("n_ports"), F.try_element_at("p", F.lit(1))["name"].alias("first_port"), F.size(F.filter("p", lambda x: x["width"] != "1")).cast("long").alias("n_vectors"))
 
 
 @query("""
@@ -206,7 +210,7 @@ def _quoted(x: str | None) -> str:
     return "null" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-_CHANGES = ", ".join(f"({i}, {_quoted(o)}, {_quoted(n)}, {_quoted(p)}, {_quoted(r.replace('$20', '{b}0').replace('${b}', '{b}').replace('{b}', chr(92) + '1').replace('$2', chr(92) + '1').replace('$3', chr(92) + '2'))})" for i, (o, n, p, r, _) in enumerate(C.MUTATIONS))
+_CHANGES = ", ".join(f"({i}, {_quoted(o)}, {_quoted(n)}, {_quoted(p)}, {_quoted(re.sub(r'[$][{]?([0-9])[}]?', lambda m: chr(92) + m[1], r))})" for i, (o, n, p, r, _) in enumerate(C.MUTATIONS))
 
 
 @query(f"""

@@ -32,7 +32,7 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list[Row]:
     """Collect a table that must be small; raise instead of collecting more than ``most`` rows."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"{what} has more than {most} rows; raise the bound or use the distributed form")
+        raise ValueError(f"{what} has more than {most} rows; raise the bound")
     return rows
 
 

@@ -261,3 +261,15 @@ def test_supersession_tips(spark):
 def test_pass_at_k(spark):
     df = spark.createDataFrame([(5.0, 2.0), (5.0, 0.0), (2.0, 1.0), (3.0, 3.0)], "n double, c double")
     assert [None if r[0] is None else round(r[0], 6) for r in df.select(metrics.pass_at_k(F.col("n"), F.col("c"), 3)).collect()] == [0.9, 0.0, None, 1.0]
+
+
+def test_normalised_and_ports(spark):
+    from tallyforge.functions import text as T
+
+    rows = {"// see /* note\nassign x = 1;\n/* real */ y": "assign x = 1 ; y", "8'b1010_zzzz + 4'hF": "8'b1010_zzzz + 4'hf", "a/* b\nc */d // e": "a d", "Été x_1 $y": "é té x_1 $ y", "/* open": "/ * open"}
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    assert [r[0] for r in df.select(T.normalised(F.col("t"))).collect()] == list(rows.values())
+    source = "module m #(parameter W = 8) (a);\nmodule n (input [W-1:0] x, input signed [3:0] y, output reg  [7:0] z,\n inout w, input wire clk, output logic [7:0] z);\nendmodule"
+    got = spark.createDataFrame([(source,), ("input a; OUTPUT [3:0] q;",), ("no ports here",)], "t string").select(T.port_list(F.col("t")).alias("p")).collect()
+    assert [tuple(p) for p in got[0].p] == [("input", "x", "(W-1)-(0)+1"), ("input", "y", "(3)-(0)+1"), ("output", "z", "(7)-(0)+1"), ("inout", "w", "1"), ("input", "clk", "1")]
+    assert [tuple(p) for p in got[1].p] == [("input", "a", "1"), ("output", "q", "(3)-(0)+1")] and got[2].p == []
