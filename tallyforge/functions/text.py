@@ -22,8 +22,13 @@ def digest(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` tokens; fewer tokens give none."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, n), " ")))
+
+    def runs(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
+
+    # bound as the variable of a lambda, the tokens are made once and not again for every run
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -99,6 +104,12 @@ def signature(parameters: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(parameters), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
 
 
+def merged_map(defaults: Column, own: Column) -> Column:
+    """Both maps; where a key is in both, the second one's value."""
+    rest = F.map_filter(defaults, lambda k, _: ~F.array_contains(F.map_keys(own), k))
+    return F.map_concat(rest, own)
+
+
 def task_key(name: Column) -> Column:
     """File-safe form of a name with 16 digits of its digest."""
     return F.concat_ws("-", F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), F.substring(digest(name), 1, 16))
@@ -109,6 +120,11 @@ def hash64_mod(text: Column, n: int) -> Column:
     return (F.conv(F.substring(digest(text), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(n).cast("decimal(20,0)")).cast("long")
 
 
+def hash64_mod_by(text: Column, n: Column) -> Column:
+    """As :func:`hash64_mod` with a column of small numbers."""
+    return (F.conv(F.substring(digest(text), 1, 16), 16, 10).cast("decimal(20,0)") % n.cast("decimal(10,0)")).cast("long")
+
+
 def hash32_mod(text: Column, n: int) -> Column:
     """First 32 bits of the MD5 digest modulo ``n``."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n

@@ -78,3 +78,48 @@ def backoff(attempt: Column, base: float = 3.0, cap: float = 60.0) -> Column:
 def reward(correct: Column, compiled: Column, infra: Column) -> Column:
     """Scalar of a verdict ladder; an unjudged row has none."""
     return F.when(infra, F.lit(None).cast("double")).when(truthy(correct), 1.0).when(truthy(compiled), 0.1).otherwise(0.0)
+
+
+#: Backends whose outcomes may be trusted, and outcomes that stand for an infrastructure code (fixed values).
+CPU_BACKENDS = ("rtl", "cvdp", "archxbench", "archxbench_tb", "realbench", "verilogeval", "rtllm")
+PAYLOAD_OUTCOMES = ("payload_not_allowlisted", "invalid_verifier_payload")
+REFERENCE_OUTCOMES = ("invalid_verify_mode", "profile_backend_mismatch")
+RUNTIME_OUTCOMES = ("dependency_missing", "cvdp_runtime_unavailable", "archxbench_runtime_unavailable", "selfcheck_tb_runtime_unavailable", "realbench_runtime_unavailable", "rtl_benchmark_runtime_unavailable", "missing_simulator_binary")
+GOLDEN_OUTCOMES = ("invalid_golden_or_ports", "testbench_generation_failed")
+TRIGGERS = {"no_testbench": "trusted_reference_configuration", "query_failed": "scheduler_failure"}
+TERMINAL = ("compile_fail", "compile_timeout", "test_fail", "timeout", "too_short")
+
+
+def outcome_code(backend: Column, info: Column, error_type: Column) -> Column:
+    """Infrastructure code that a backend's outcome stands for; null for a judged one."""
+    rtl = backend == "rtl"
+    code = (
+        F.when(info.isin(*PAYLOAD_OUTCOMES), "trusted_payload_integrity")
+        .when(info.isin(*REFERENCE_OUTCOMES) & (error_type == "dataset_configuration_error"), "trusted_reference_configuration")
+        .when(info.isin(*RUNTIME_OUTCOMES), "trusted_runtime_dependency")
+        .when(rtl & info.isin(*GOLDEN_OUTCOMES), "trusted_reference_configuration")
+        .when(rtl & ((info == "golden_trace_incomplete") | info.startswith("golden_") & (error_type == "golden_verifier_failure")), "trusted_golden_failure")
+    )
+    return F.when(backend.isin(*CPU_BACKENDS), code)
+
+
+def triggered(trigger: Column, syntax: Column, score: Column, policy: Column) -> Column:
+    """(infra, infra_code, correct, info) of a sample by its trigger; a row that has a policy already is left out (null)."""
+    code = F.coalesce(*[F.when(trigger == t, c) for t, c in TRIGGERS.items()])
+    correct = truthy(syntax) & (F.coalesce(score, F.lit(0.0)) >= 100.0)
+    info = F.when(code.isNotNull(), F.concat(F.lit("archx_infra:"), trigger)).when(correct, "pass").otherwise("fail")
+    return F.when(policy.isNull(), F.struct(code.isNotNull().alias("infra"), code.alias("infra_code"), (code.isNull() & correct).alias("correct"), info.alias("info")))
+
+
+def by_profile(info: Column, origin: Column, digest: Column, expected: Column) -> Column:
+    """(correct, info) after comparison with the digests of a profile; terminal outcomes stay, a missing digest or profile is no pass."""
+    stays = F.coalesce(info.isin(*TERMINAL), F.lit(False)) | F.coalesce(origin == "infrastructure", F.lit(False))
+    bare = digest.isNull() | (digest == "") | expected.isNull()
+    hit = F.coalesce(F.array_contains(expected, digest), F.lit(False))
+    out = lambda ok, name: F.struct(ok.alias("correct"), name.alias("info"))
+    return F.when(stays, out(F.lit(None).cast("boolean"), info)).when(bare, out(F.lit(False), F.lit("executed_no_profile"))).otherwise(out(hit, F.when(hit, "pass").otherwise("stdout_hash_mismatch")))
+
+
+def kernel_missing(error: Column) -> Column:
+    """A verifier that did not find the kernel failed, not the kernel."""
+    return F.coalesce(error.startswith("Kernel not found"), F.lit(False))

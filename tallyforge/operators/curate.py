@@ -46,6 +46,22 @@ def interleaved(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
+def shard_union(shards: list[DataFrame]) -> DataFrame:
+    """All rows of all shards, columns by name, missing ones null; without a shard there is nothing to merge, an error."""
+    if not shards:
+        raise ValueError("there are no shards to merge")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with their number ``i`` in the order of columns: sorted by ranges, each range starting where the ones before end."""
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
+    # a row per partition
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", (F.col("start") - F.col("first")).alias("shift"))
+    return parts.join(F.broadcast(starts), "_p").withColumn("i", F.col("_i") + F.col("shift")).drop("_p", "_i", "shift")
+
+
 def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column], *, target: int, per_root: int = 8, per_pair: int = 3, operator_share: float = 0.4, min_roots: int = 0, exact: bool = True) -> DataFrame:
     """Round-robin over roots by rank, under caps per root, per root and operator, and per operator.
 

@@ -75,3 +75,50 @@ def supersession_tips(df: DataFrame, key: str, successor: str) -> DataFrame:
         state = checkpointed(state.join(further, "tip").select("start", F.col("_tip").alias("tip"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done")))
         span *= 2
     return state.select("start", "tip", "depth")
+
+
+def committed(df: DataFrame, transition: str, kind: str) -> DataFrame:
+    """Prepared records of transitions that were committed and not aborted; others are not visible."""
+    ends = df.where(F.col(kind).isin("commit", "abort")).groupBy(transition).agg(F.bool_or(F.col(kind) == "commit").alias("_c"), F.bool_or(F.col(kind) == "abort").alias("_a"))
+    return df.where(F.col(kind) == "prepare").join(ends.where("_c and not _a").select(transition), transition, "left_semi")
+
+
+def in_force(decisions: DataFrame, key: str, successor: str, expires: str, at: Column) -> DataFrame:
+    """(key, tip, valid): the decision that stands for each one at a time; a tip that has expired is none."""
+    tips = supersession_tips(decisions, key, successor)
+    until = decisions.select(F.col(key).alias("tip"), F.col(expires).alias("_until"))
+    return tips.join(until, "tip").select(F.col("start").alias(key), "tip", (F.col("_until").isNull() | (F.col("_until") > at)).alias("valid"))
+
+
+def invalidated(edges: DataFrame, node: str, needs: str, broken: DataFrame) -> DataFrame:
+    """(node, distance) of all that depends on a broken node, over any number of steps, and of the broken ones (0).
+
+    Only the nodes reached last are joined with the edges again, so a round
+    costs as much as the frontier; a cycle ends when nothing new is reached.
+    """
+    seen = checkpointed(broken.select(F.col(node).alias("node"), F.lit(0).alias("distance")).distinct())
+    frontier, step = seen, 0
+    pairs = edges.select(F.col(node).alias("_to"), F.col(needs).alias("node"))
+    while not frontier.isEmpty():
+        step += 1
+        reached = pairs.join(frontier.select("node"), "node").select(F.col("_to").alias("node")).distinct()
+        frontier = checkpointed(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance")))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def reconciled(tasks: DataFrame, attempts: DataFrame, task: str, status: str, attempt_status: str, rules: dict[tuple[str | None, str | None], str]) -> DataFrame:
+    """(task, task_status, attempt_status, action) of tasks and their current attempts, either of which may be missing; a pair without a rule is a conflict."""
+    both = tasks.select(task, F.col(status).alias("task_status")).join(attempts.select(task, F.col(attempt_status).alias("attempt_status")), task, "full")
+    action = F.lit("conflict")
+    for (a, b), name in rules.items():
+        action = F.when(F.col("task_status").eqNullSafe(F.lit(a)) & F.col("attempt_status").eqNullSafe(F.lit(b)), name).otherwise(action)
+    return both.withColumn("action", action)
+
+
+def replay_strict(df: DataFrame, entity: str, order: list[str], status: str, edges: list[tuple[str | None, str]], revision: str | None = None) -> DataFrame:
+    """As :func:`replay`, but a step that is not permitted, or a revision that is not the number of events before, is an error."""
+    checked = edge_check(df, entity, order, status, edges)
+    fine = F.col("legal") if revision is None else F.col("legal") & (F.col(revision) == F.row_number().over(Window.partitionBy(entity).orderBy(*order)) - 1)
+    named = F.concat(F.lit(f"illegal event of {entity} "), F.col(entity).cast("string"))
+    return replay(checked.where(F.assert_true(F.coalesce(fine, F.lit(False)), named).isNull()), entity, order, status)

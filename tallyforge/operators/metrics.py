@@ -24,6 +24,53 @@ def clean_pass_rate(df: DataFrame, item: str, passed: Column, infra: Column, pol
     return own.agg(F.count("*").alias("n_items"), F.count_if(F.col("n_scored") == 0).alias("n_fully_infra"), F.sum("n_infra").alias("n_infra"), F.round(rate * 100, 6).alias("clean_rate"))
 
 
+def clean_pass_rates(df: DataFrame, item: str, passed: Column, infra: Column) -> DataFrame:
+    """The rates of :func:`clean_pass_rate` under all three policies, from one aggregation."""
+    own = per_item(df, item, passed, infra)
+    share = F.when(F.col("n_scored") > 0, F.col("n_pass") / F.col("n_scored"))
+    every = own.agg(F.count("*").alias("n_items"), F.count_if(F.col("n_scored") == 0).alias("n_fully_infra"), F.sum("n_infra").alias("n_infra"), F.avg(share).alias("drop"), F.avg(F.coalesce(share, F.lit(0.0))).alias("zero"), (F.sum("n_pass") / F.nullif(F.sum("n_scored"), F.lit(0))).alias("pool"))
+    rates = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.round(F.col(p) * 100, 6).alias("clean_rate")) for p in ("drop", "zero", "pool")]))
+    return every.select("n_items", "n_fully_infra", "n_infra", rates.alias("r")).select("r.policy", "n_items", "n_fully_infra", "n_infra", "r.clean_rate")
+
+
+def average_at_k(df: DataFrame, item: str, sample_no: str, passed: Column, infra: Column, k: int) -> DataFrame:
+    """(n_items, n_infra, avg, avg_clean, pass_at_1) in percent: shares per item rounded to 4 places, items of nothing but infrastructure failures count as 0."""
+    ok = passed & ~infra
+    own = df.groupBy(item).agg(F.count_if(ok).alias("p"), F.count_if(infra).alias("x"), F.max(F.when((F.col(sample_no) == 0) & ok, 1).otherwise(0)).alias("first"))
+    scored = F.lit(k) - F.col("x")
+    clean = F.when(scored > 0, F.round(F.col("p") / scored, 4)).otherwise(0.0)
+    return own.agg(F.count("*").alias("n_items"), F.sum("x").alias("n_infra"), F.round(100 * F.avg(F.round(F.col("p") / k, 4)), 2).alias("avg"), F.round(100 * F.avg(clean), 2).alias("avg_clean"), F.round(100 * F.avg("first"), 2).alias("pass_at_1"))
+
+
+def best_of_k(df: DataFrame, item: str, compiled: Column, score: Column, infra: Column, k: int) -> DataFrame:
+    """(n_items, n, t, n_clean, t_clean): compiled samples and best score per item; clean: compiled over scored samples pooled, best scores of items with any scored one."""
+    own = df.groupBy(item).agg(F.count_if(compiled & ~infra).alias("n"), F.coalesce(F.max(F.when(compiled & ~infra, score)), F.lit(0.0)).alias("t"), F.count_if(infra).alias("x"))
+    scored = F.lit(k) * F.count("*") - F.sum("x")
+    return own.agg(F.count("*").alias("n_items"), F.round(F.avg("n"), 2).alias("n"), F.round(F.avg(F.round("t", 2)), 2).alias("t"), F.round(F.when(scored > 0, F.sum("n") / scored).otherwise(0.0), 4).alias("n_clean"), F.round(F.coalesce(F.avg(F.when(F.col("x") < k, F.round("t", 2))), F.lit(0.0)), 2).alias("t_clean"))
+
+
+def scored_summary(df: DataFrame, keys: list[str], infra: Column, **flags: Column) -> DataFrame:
+    """(keys, n, n_skipped, and count and percent of every flag), counted over rows that are no infrastructure failure only."""
+    n = F.count_if(~infra)
+    each = [c for name, flag in flags.items() for c in (F.count_if(flag & ~infra).alias(name), F.round(F.coalesce(100 * F.count_if(flag & ~infra) / F.nullif(n, F.lit(0)), F.lit(0.0)), 2).alias(f"{name}_rate"))]
+    return df.groupBy(*keys).agg(n.alias("n"), F.count_if(infra).alias("n_skipped"), *each)
+
+
+def totals(df: DataFrame, item: str, *columns: str) -> DataFrame:
+    """Totals of columns and their mean per item; null values are none."""
+    own = df.groupBy(item).agg(*[F.sum(c).alias(c) for c in columns])
+    return own.agg(F.count("*").alias("n_items"), *[x for c in columns for x in (F.round(F.sum(c), 4).alias(f"total_{c}"), F.round(F.coalesce(F.sum(c), F.lit(0)) / F.count("*"), 6).alias(f"mean_{c}"))])
+
+
+def code_table(df: DataFrame, code: Column, column: Column, codes: list[str], columns: list[str]) -> DataFrame:
+    """A row per code, the pass code first and r, R and T last, and a count per column; both lists are given, so that codes not met have a row of zeros."""
+    counts = df.groupBy(code.alias("code")).agg(*[F.count_if(column == c).alias(c) for c in columns])
+    last = {"r": 1, "R": 2, "T": 3}
+    order = sorted(codes, key=lambda c: (c != ".", last.get(c, 0), c))
+    listed = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(order)], "code string, place int")
+    return F.broadcast(listed).join(counts, "code", "left").select("place", "code", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns]).orderBy("place")
+
+
 def truncated_rate(df: DataFrame, item: str, sample_no: str, passed: Column) -> DataFrame:
     """Mean over items of whole percents; the number of samples is the largest index, holes count as failures."""
     own = df.groupBy(item).agg(F.max(sample_no).alias("n"), F.count_if(passed).alias("n_pass"))

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyforge.plans import curation, evaluation  # noqa: F401
+from tallyforge.plans import curation, evaluation, extraction, planning  # noqa: F401
 from tallyforge.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
