@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.runtime import bounded_rows, checkpointed
+from tallyforge.runtime import checkpointed
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -69,8 +72,10 @@ def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column]
     operator is full is passed over for the root's next one in the same round,
     and the cap of a root counts picks. The caps within a root are windows.
     Only when the global operator cap binds does each pick depend on the
-    earlier ones; then the frame, at most ``per_pair`` rows a root and
-    operator, is walked on the driver. ``turn`` is the round of the pick.
+    earlier ones; then the roots, with at most ``per_pair`` rows an operator,
+    are read in order until the target is met, and only those that gave a row
+    are kept, so what the driver holds follows the target and not the table.
+    ``turn`` is the round of the pick.
     Fewer than ``target`` rows or ``min_roots`` roots raise, unless not ``exact``.
     """
     pairs = df.withColumn("_k", F.row_number().over(Window.partitionBy(root, operator).orderBy(*rank))).where(F.col("_k") <= per_pair).drop("_k")
@@ -78,7 +83,7 @@ def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column]
     chosen = placed.where(F.col("turn") <= per_root).orderBy("turn", root).limit(target)
     cap = int(target * operator_share)
     if not chosen.groupBy(operator).count().where(F.col("count") > cap).isEmpty():
-        rows = bounded_rows(placed.select(root, "turn", operator).orderBy(root, "turn"), 2_000_000, "the capped selection")
+        rows = placed.select(root, "turn", operator).orderBy(root, "turn").toLocalIterator()
         picks = df.sparkSession.createDataFrame(_walked(rows, target, per_root, cap), placed.select(F.col(root).alias("_root"), F.col("turn").alias("_place"), "turn").schema)
         chosen = placed.withColumnRenamed("turn", "_place").alias("a").join(picks.alias("b"), F.col(f"a.{root}").eqNullSafe(F.col("b._root")) & (F.col("a._place") == F.col("b._place"))).select(*df.columns, "turn")
     if exact:
@@ -88,26 +93,36 @@ def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column]
     return chosen
 
 
-def _walked(rows: list, target: int, per_root: int, cap: int) -> list[tuple]:
-    """(root, place, round) of the picks; ``rows`` are (root, place, operator) by root and place, the caps of pairs applied."""
+def _walked(rows: Iterable[Row], target: int, per_root: int, cap: int) -> list[tuple]:
+    """(root, place, round) of the picks; ``rows`` are (root, place, operator) by root and place, the caps of pairs applied.
+
+    The first round is made while reading and ends it when the target is met.
+    A root without an eligible row never has one again, as operators do not
+    become free.
+    """
+    used: Counter = Counter()
+    out: list[tuple] = []
     left: dict = {}
-    for r, place, o in rows:
-        left.setdefault(r, []).append((place, o))
-    used, out, turn = {}, [], 0
-    while left and len(out) < target and turn < per_root:
-        turn += 1
-        for r in list(left):
+
+    def pick(root: object, own: list[tuple], turn: int) -> None:
+        at = next((k for k, (_, o) in enumerate(own) if used[o] < cap), None)
+        if at is not None:
+            place, operator = own[at]
+            used[operator] += 1
+            out.append((root, place, turn))
+            left[root] = own[at + 1 :]
+        else:
+            left.pop(root, None)
+
+    for root, own in groupby(rows, key=lambda r: r[0]):
+        if len(out) == target:
+            return out
+        pick(root, [(place, operator) for _, place, operator in own], 1)
+    for turn in range(2, per_root + 1):
+        for root in list(left):
             if len(out) == target:
-                break
-            # operators never become free again, so what is passed over is done with
-            at = next((k for k, (_, o) in enumerate(left[r]) if used.get(o, 0) < cap), None)
-            if at is None:
-                del left[r]
-                continue
-            place, o = left[r][at]
-            used[o] = used.get(o, 0) + 1
-            out.append((r, place, turn))
-            left[r] = left[r][at + 1 :]
+                return out
+            pick(root, left[root], turn)
     return out
 
 
@@ -125,12 +140,12 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
     Round by round a class is decided by the first one not rejected in its
     groups: itself, and it is accepted, or an accepted one, and it is
     rejected, or an open one, and it waits; this equals the sequential scan.
-    Texts of less than ``n`` tokens have no shingle and are all alike within
-    an interface. Null texts and interfaces count as empty ones.
+    Shingles are compared by 64-bit hashes. Texts of less than ``n`` tokens
+    have no shingle and are all alike within an interface. Null texts and interfaces count as empty ones.
     """
     limits = {text: threshold} if isinstance(text, str) else text
     base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.coalesce(F.col(interface), F.lit("")).alias("i"), *[T.normalised(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(limits)])
-    base = base.select("key", "ord", "i", *[c for k in range(len(limits)) for c in (T.ngrams(F.split(f"t{k}", " "), n).alias(f"g{k}"), F.sha2(f"t{k}", 256).alias(f"d{k}"))])
+    base = base.select("key", "ord", "i", *[c for k in range(len(limits)) for c in (F.transform(T.ngrams(F.split(f"t{k}", " "), n), lambda g: F.xxhash64(g)).alias(f"g{k}"), F.sha2(f"t{k}", 256).alias(f"d{k}"))])
     alike = [F.when(F.size(f"g{k}") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col(f"d{k}")).alias(f"c{k}") for k in range(len(limits))]
     base = checkpointed(base.select("*", *alike))
     # short texts are alike within an interface, but only equal ones across

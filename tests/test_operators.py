@@ -175,6 +175,75 @@ def test_capped_selection_under_a_binding_operator_cap(spark):
     assert sorted(r.id for r in got) == sorted(want)
 
 
+def selected(rows, target, per_root=8, per_pair=3, share=0.4):
+    """The loop that the selection must equal: roots take turns, a capped row is passed over in its turn."""
+    by_root = {}
+    for i, root, op in sorted(rows, reverse=True):
+        by_root.setdefault(root, []).append((i, op))
+    out, roots, pairs, ops = [], {}, {}, {}
+    while len(out) < target:
+        before = len(out)
+        for root in sorted(by_root):
+            for i, op in by_root[root]:
+                if i in out or pairs.get((root, op), 0) >= per_pair or ops.get(op, 0) + 1 > int(target * share):
+                    continue
+                if roots.get(root, 0) < per_root:
+                    out.append(i)
+                    roots[root], pairs[root, op], ops[op] = roots.get(root, 0) + 1, pairs.get((root, op), 0) + 1, ops.get(op, 0) + 1
+                break
+            if len(out) == target:
+                break
+        if len(out) == before:
+            return None
+    return out
+
+
+@pytest.mark.parametrize(("n_roots", "target", "share", "skew"), [(6, 40, 0.2, 0.8), (40, 30, 0.4, 0.9), (12, 60, 0.3, 0.6), (5, 39, 0.4, 0.5), (4, 60, 0.2, 0.9)])
+def test_capped_selection_equals_the_loop(spark, n_roots, target, share, skew):
+    rng = random.Random(n_roots)
+    rows = [(i, f"r{rng.randrange(n_roots):02d}", "o1" if rng.random() < skew else f"o{rng.randrange(2, 6)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, root string, operator string").repartition(3)
+    want = selected(rows, target, share=share)
+    run = lambda: curate.capped_selection(df, "root", "operator", [F.col("id").desc()], target=target, operator_share=share)
+    if want is None:
+        with pytest.raises(ValueError, match="exhausted"):
+            run()
+    else:
+        assert sorted(r.id for r in run().collect()) == sorted(want)
+
+
+def test_plans_gates_and_logs(spark):
+    from tallyforge.functions import extract as X
+    from tallyforge.operators import planning, rescore
+
+    roots = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "none"), (None, "x")], "id string, c string")
+    contracts = [("one", ["x", "y"], {"k": ["1", "2"], "a": ["p", "q"]}), ("two", ["x"], {"m": ["5"]})]
+    plan = {}
+    for r in planning.planned(roots, "id", "c", contracts, 4).orderBy("turn").collect():
+        plan.setdefault(r.root, []).append((r.operator, r.signature))
+    assert plan["b"] == [("one", "a=p,k=1"), ("one", "a=p,k=2"), ("one", "a=q,k=1"), ("one", "a=q,k=2")] and "c" not in plan
+    assert sorted(plan["a"]) == [("one", "a=p,k=1"), ("one", "a=p,k=2"), ("one", "a=q,k=1"), ("two", "m=5")]
+    edges = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (5, 4)], "n int, needs int")
+    assert {tuple(r) for r in eventlog.invalidated(edges, "n", "needs", spark.createDataFrame([(1,)], "n int")).collect()} == {(1, 0), (2, 1), (3, 2)}
+    log = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "e int, s int, t string")
+    steps = [(None, "a"), ("a", "b")]
+    assert {tuple(r) for r in eventlog.replay_strict(log, "e", ["s"], "t", steps).collect()} == {(1, "b", 2, "a"), (2, "a", 1, "a")}
+    with pytest.raises(Exception, match="illegal event"):
+        eventlog.replay_strict(log, "e", ["s"], "t", steps[:1]).collect()
+    raw = spark.createDataFrame([("<think>module t; endmodule</think>```verilog\nmodule a; endmodule\n```\n[BEGIN]\nmodule b; endmodule\n[DONE]", "module z"), ("```\nmodule a; x", ""), ("prose module a; endmodule", ""), ("", None), ("```\nmodule a; endmodule\n```", "module a; endmodule ")], "r string, o string")
+    got = raw.select(X.picked_module(F.col("r")).alias("p"), X.module_candidates(F.col("r")).alias("c"), rescore.diagnosis(F.col("r"), F.col("o"), F.lit(False), F.lit(False)).alias("d")).collect()
+    assert [tuple(r.p) for r in got] == [("module b; endmodule", "complete"), ("module a; x", "truncated"), ("", "empty"), ("", "empty"), ("module a; endmodule", "complete")]
+    assert got[0].c == ["module b; endmodule", "module a; endmodule"] and [r.d for r in got] == ["recoverable", "truncated", "empty", "empty", "clean"]
+    dry = spark.createDataFrame([("[DRYRUN x]\na\nb\n[END]",), ("plain",)], "t string")
+    assert [r[0] for r in dry.select(X.strip_dryrun(F.col("t"))).collect()] == ["a\nb", "plain"]
+    judged = spark.createDataFrame([('x {"passed": true, "issues": [], "covered_obligations": ["a"]} y',), ("none",), ('{"passed": 1}',), ('{"passed": false, "issues": 2}',), (None,)], "t string").select(X.judged_json(F.col("t")).alias("j")).collect()
+    assert [r.j.problem for r in judged] == [None, "no_object", "no_passed", "no_issues", "no_object"]
+    items = curate.numbered(spark.range(100).repartition(7).withColumnRenamed("id", "v"), "v").collect()
+    assert all(r.v == r.i for r in items)
+    with pytest.raises(ValueError, match="no shards"):
+        curate.shard_union([])
+
+
 def scan_pairs(rows, least, n=5):
     """The sequential scan over two texts: equal ones count across interfaces, near ones within."""
     grams = lambda t: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
