@@ -26,6 +26,8 @@ from tallyforge.runtime import hash_sample
 
 #: Most labelled documents the models are fitted on, bits of the feature hashes, bands.
 SAMPLE, BITS, BANDS = 2400, 17, 5
+#: Most bytes of text they are fitted on.
+SAMPLE_BYTES = 64_000_000
 #: A word is common if found in this share of the fitted documents; least share of common words in a document that the sentence models judge. Neither depends on how many are fitted.
 COMMON, FAMILIAR = 0.1, 0.25
 #: Han text has no spaces: two characters count as a word; its stops end a sentence, its other signs a word.
@@ -175,7 +177,7 @@ def fit(texts: list[str], bands: list[float], *, seed: int = 3) -> ReadingModel:
     return out
 
 
-def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, band: str, keep: list[str], *, sample: int = SAMPLE) -> DataFrame:
+def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, band: str, keep: list[str], *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, *keep, level, band, shares, n_sentences) for every document with words.
 
     ``level`` runs from 1 to 5 as the human bands, ``band`` is the nearest of
@@ -187,7 +189,15 @@ def reading_levels(df: DataFrame, key: str, text: str, labels: DataFrame, label_
     mean = labels.where(F.col(band).isNotNull()).groupBy(F.col(label_key).cast("long").alias("key")).agg(F.avg(band).alias("mean_band"))
     # the labelled keys are chosen first, so that only their texts are looked up
     chosen = hash_sample(mean, ["key"], sample)
-    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("length(text) > 0").join(F.broadcast(chosen), "key").orderBy("key", "text").limit(2 * sample).collect()
+    labelled = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("length(text) > 0").join(F.broadcast(chosen), "key")
+    # the sizes come first, so that only what the bound allows is sent
+    total, within = 0, {}
+    for r in labelled.select("key", "mean_band", F.xxhash64("key").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "key", "n").limit(2 * sample).collect():
+        total += r.n
+        if total <= sample_bytes:
+            within[r.key] = r.mean_band
+    wanted = df.sparkSession.createDataFrame(list(within.items()), "key long, mean_band double")
+    texts = labelled.select("key", "text").join(F.broadcast(wanted), "key").orderBy("key", "text").limit(2 * sample).collect()
     shared = df.sparkSession.sparkContext.broadcast(fit([r.text for r in texts], [r.mean_band for r in texts]))
     kept = df.select(*keep).schema.fields
     names = ["doc_id", *keep, "level", "band", "shares", "n_sentences"]

@@ -157,10 +157,10 @@ _V_GOAL = re.compile(r'[$"]*')
 
 #: Classes of Python (fixed values): words and signs that the productions use.
 PYTHON_CLASSES = {
-    "def": "D", "class": "C", "if elif while": "F", "else try finally": "L", "for": "R", "return": "r", "import": "I", "from": "M", "as": "A", "pass break continue": "p", "raise": "r", "assert": "a", "del global nonlocal": "g", "with": "W", "except": "X",
+    "def": "D", "class": "C", "if": "F", "elif": "E", "while": "h", "else": "L", "try": "y", "finally": "Y", "for": "R", "return": "r", "import": "I", "from": "M", "as": "A", "pass break continue": "p", "raise": "r", "assert": "a", "del global nonlocal": "g", "with": "W", "except": "X",
     "and or": "o", "in": "N", "is": "o", "not": "u", "lambda": "!", "yield await async": "!", "None True False": "x",
     "( )": None, "[ ]": None, "{ }": None, ", : . ; @": None, "=": "=", "+ -": "+", "~": "u", "* **": "*", "/ // % << >> & | ^ < > <= >= == !=": "o", "->": ">", ":=": "o",
-    "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=": "=", "...": "x",
+    "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=": "q", "...": "x",
 }
 _P_TOKEN = re.compile(
     r"""#[^\r\n]*|[rRbBuUfF]{0,2}(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|"(?!"")(?:\\(?:\r\n|.)|[^"\\\r\n])*"|'(?!'')(?:\\(?:\r\n|.)|[^'\\\r\n])*')"""
@@ -211,29 +211,31 @@ def lex_python(text: str) -> str:
 
 
 _PY = {w: (w if c is None else c) for words, c in PYTHON_CLASSES.items() for w in words.split()}
-_X = "[ix]"
-_ARG = rf"(?:i=|\*)?{_X}"
+#: i is what can be assigned to, t a bracketed list of values, which may hold such, x any other expression. Only what is common needs a production: the interpreter decides on the rest.
+_X = "[ixt]"
+#: Named arguments stand behind all others.
+_ARGS = rf"(?:\*?{_X}(?:,\*?{_X})*(?:,(?:i=|\*){_X})*|(?:i=|\*){_X}(?:,(?:i=|\*){_X})*)"
 _P_EXPRESSIONS = [
     (r"s+", "x"),
     (rf"{_X}\.i", "i"),
-    (rf"{_X}\((?:{_ARG}(?:,{_ARG})*,?)?\)", "x"),
-    (rf"(?<=[ix])\[(?:{_X}?(?::{_X}?)?(?::{_X}?)?)(?:,{_X}?(?::{_X}?)?(?::{_X}?)?)*,?\]", "#"),
-    (r"[ix]#", "i"),
-    (rf"(?<![ixDC)])\((?:\*?{_X}(?:,\*?{_X})*,?)?\)", "x"),
-    (rf"(?<![ix\])}}])\[(?:\*?{_X}(?:,\*?{_X})*,?)?\]", "x"),
+    (rf"{_X}\((?:{_ARGS},?)?\)", "x"),
+    (rf"(?<=[ixt])\[(?:{_X}?(?::{_X}?)?(?::{_X}?)?)(?:,{_X}?(?::{_X}?)?(?::{_X}?)?)*,?\]", "#"),
+    (r"[ixt]#", "i"),
+    (rf"(?<![ixtDC)])\((?:\*?{_X}(?:,\*?{_X})*,?)?\)", "t"),
+    (rf"(?<![ixt\])}}])\[(?:\*?{_X}(?:,\*?{_X})*,?)?\]", "t"),
     (rf"\{{(?:(?:{_X}:{_X}|\*?{_X})(?:,(?:{_X}:{_X}|\*?{_X}))*,?)?\}}", "x"),
-    (rf"(?<![ix)\]}}])(?:[+u]){_X}(?![.(\[])", "x"),
+    (rf"(?<![ixt)\]}}])(?:[+u]){_X}(?![.(\[])", "x"),
     (rf"{_X}(?:(?:[o+*N]|uN|ou?)[+u]*{_X})+(?![.(\[])", "x"),
     (rf"{_X}F{_X}L{_X}(?![.(\[o+*N])", "x"),
 ]
 _S = r"(?<![^nJOSB\n])"
 _P_STATEMENTS = [
-    (rf"{_S}(?:(?:(?:i|x)(?::{_X})?=)*{_X}(?:,{_X})*|(?:{_X}(?:,{_X})*=)+{_X}(?:,{_X})*|i:{_X}|r(?:{_X}(?:,{_X})*)?(?:M{_X})?|p|a{_X}(?:,{_X})?|g{_X}(?:,{_X})*|Ii(?:Ai)?(?:,i(?:Ai)?)*|M\.*i?I(?:i(?:Ai)?(?:,i(?:Ai)?)*|x|\*))(?:;(?=[^n]))?n", "S"),
+    (rf"{_S}(?:(?:[it](?:,[it])*,?=)*{_X}(?:,{_X})*,?|i:{_X}(?:={_X})?|iq{_X}(?:,{_X})*|r(?:{_X}(?:,{_X})*)?(?:M{_X})?|p|a{_X}(?:,{_X})?|g[it](?:,[it])*|Ii(?:Ai)?(?:,i(?:Ai)?)*|M\.*i?I(?:i(?:Ai)?(?:,i(?:Ai)?)*|t|\*))(?:;(?=[^n]))?n", "S"),
     (r"JS+O", "B"),
     (rf"@{_X}n(?=[@DCS])", ""),
-    (rf"Di\((?:\*?\*?i?(?::{_X})?(?:={_X})?(?:,\*?\*?i?(?::{_X})?(?:={_X})?)*,?|{_ARG}(?:,{_ARG})*)?\)(?:>{_X})?:nB", "S"),
-    (rf"Dx(?:>{_X})?:nB|Ci?x?(?:\((?:{_ARG}(?:,{_ARG})*)?\))?:nB", "S"),
-    (rf"F{_X}:nB(?:F{_X}:nB)*(?:L:nB)?|R{_X}(?:,{_X})*N{_X}(?:,{_X})*:nB(?:L:nB)?|Rx:nB(?:L:nB)?|W{_X}(?:A{_X})?(?:,{_X}(?:A{_X})?)*:nB|L:nB(?:X(?:{_X}(?:Ai)?)?:nB)+(?:L:nB)*|L:nBL:nB", "S"),
+    (rf"Di\((?:\*?\*?i?(?::{_X})?(?:={_X})?(?:,\*?\*?i?(?::{_X})?(?:={_X})?)*,?|{_ARGS})?\)(?:>{_X})?:nB", "S"),
+    (rf"D[xt](?:>{_X})?:nB|Ci?[xt]?(?:\((?:{_ARGS})?\))?:nB", "S"),
+    (rf"F{_X}:nB(?:E{_X}:nB)*(?:L:nB)?|h{_X}:nB(?:L:nB)?|R{_X}(?:,{_X})*N{_X}(?:,{_X})*:nB(?:L:nB)?|Rx:nB(?:L:nB)?|W{_X}(?:A{_X})?(?:,{_X}(?:A{_X})?)*:nB|y:nB(?:X(?:{_X}(?:Ai)?)?:nB)+(?:L:nB)?(?:Y:nB)?|y:nBY:nB", "S"),
 ]
 _P_GOAL = re.compile(r"S*")
 
@@ -268,8 +270,8 @@ VERILOG_PRODUCTIONS = [
 ]
 _P_BEGIN, _P_END = "isx+u([{*.", "isx)]}."
 _PYTHON_PAIR_PRODUCTIONS = [
-    "EXPR BIN EXPR", "EXPR =", "= EXPR", "EXPR n", "EXPR ,", ", EXPR", ", )", ", ]", ", }", "( )", "[ ]", "{ }", "( EXPR", "EXPR )", "[ EXPR", "EXPR ]", "{ EXPR", "EXPR }", "EXPR (", "EXPR [", "EXPR .", ". i", ". I", "EXPR :", ": EXPR", ": n", ": ]", "[ :", ": :", ": ,", "* EXPR", ", *", "( *", "* ,", "BIN u", "u N", "u EXPR", "+ EXPR", "s s", "EXPR F", "F EXPR", "EXPR L", "L EXPR", "L :", "EXPR ;", "; STMT",
-    "LINE LINE", "n J", "n O", "O O", "J LINE", "O LINE", "O L", "O X", "n L", "n X", "D i", "C i", "i (", "i :", ") :", ") >", "> EXPR", "R EXPR", "EXPR N", "r EXPR", "r n", "r M", "EXPR M", "M EXPR", "p n", "p ;", "a EXPR", "g EXPR", "I EXPR", "I *", "I (", "* n", "M .", "M i", "i I", "i A", "A i", ") A", "A EXPR", "W EXPR", "X EXPR", "X :", "@ EXPR", "n @",
+    "EXPR BIN EXPR", "EXPR =", "= EXPR", "EXPR n", "EXPR ,", ", EXPR", ", )", ", ]", ", }", "( )", "[ ]", "{ }", "( EXPR", "EXPR )", "[ EXPR", "EXPR ]", "{ EXPR", "EXPR }", "EXPR (", "EXPR [", "EXPR .", ". i", ". I", "EXPR :", ": EXPR", ": n", ": ]", "[ :", ": :", ": ,", "* EXPR", ", *", "( *", "* ,", "BIN u", "u N", "u EXPR", "+ EXPR", "s s", "EXPR F", "F EXPR", "E EXPR", "h EXPR", "EXPR L", "L EXPR", "L :", "y :", "Y :", "EXPR q", "q EXPR", "EXPR ;", "; STMT",
+    "LINE LINE", "n J", "n O", "O O", "J LINE", "O LINE", "O L", "O X", "O E", "O Y", "n L", "n X", "D i", "C i", "i (", "i :", ") :", ") >", "> EXPR", "R EXPR", "EXPR N", "r EXPR", "r n", "r M", "EXPR M", "M EXPR", "p n", "p ;", "a EXPR", "g EXPR", "I EXPR", "I *", "I (", "* n", "M .", "M i", "i I", "i A", "A i", ") A", "A EXPR", "W EXPR", "X EXPR", "X :", "@ EXPR", "n @",
 ]
 
 
@@ -278,7 +280,7 @@ def permissible_pairs() -> list[tuple[str, str]]:
     global _BEGINS, _ENDS
     rows = [("verilog", x) for x in _pairs(VERILOG_PRODUCTIONS)]
     kept = _BEGINS, _ENDS
-    line = "isx+u([{*@DCFRrIMpagWLX"
+    line = "isx+u([{*@DCFhyRrIMpagWLX"
     _BEGINS = {"EXPR": _P_BEGIN, "BIN": "o+*N", "LINE": line, "STMT": line}
     _ENDS = {"EXPR": _P_END, "BIN": "o+*Nu", "LINE": "nO"}
     rows += [("python", x) for x in _pairs(_PYTHON_PAIR_PRODUCTIONS)]
