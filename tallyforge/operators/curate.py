@@ -44,9 +44,27 @@ def mixed_radix(ordinal: Column, sizes: list[int]) -> list[Column]:
     return out[::-1]
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with their number ``i`` in the order of columns: sorted by ranges, each range starting where the ones before end."""
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
+    # a row per partition
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", (F.col("start") - F.col("first")).alias("shift"))
+    return parts.join(F.broadcast(starts), "_p").withColumn("i", F.col("_i") + F.col("shift")).drop("_p", "_i", "shift")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their number, from 1, within their key: as ``row_number``, but a key of many rows is spread over as many tasks as it needs."""
+    rows = numbered(df, *keys, *order)
+    first = rows.groupBy(*keys).agg(F.min("i").alias("_first"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = rows.alias("a").join(first.alias("b"), reduce(Column.__and__, same))
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("i") - F.col("_first") + 1).alias(name))
+
+
 def interleaved(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Rows with their turn when the groups take turns."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked(df, [by], order, "turn")
 
 
 def shard_union(shards: list[DataFrame]) -> DataFrame:
@@ -56,15 +74,6 @@ def shard_union(shards: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Rows with their number ``i`` in the order of columns: sorted by ranges, each range starting where the ones before end."""
-    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
-    # a row per partition
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", (F.col("start") - F.col("first")).alias("shift"))
-    return parts.join(F.broadcast(starts), "_p").withColumn("i", F.col("_i") + F.col("shift")).drop("_p", "_i", "shift")
-
-
 def capped_selection(df: DataFrame, root: str, operator: str, rank: list[Column], *, target: int, per_root: int = 8, per_pair: int = 3, operator_share: float = 0.4, min_roots: int = 0, exact: bool = True) -> DataFrame:
     """Round-robin over roots by rank, under caps per root, per root and operator, and per operator.
 

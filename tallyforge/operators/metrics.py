@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.curate import ranked
+
 
 def per_item(df: DataFrame, item: str, passed: Column, infra: Column) -> DataFrame:
     """(item, n, n_infra, n_pass, n_scored) by one partial and one final aggregation."""
@@ -84,14 +88,26 @@ def gini_simpson(df: DataFrame, item: str, outcome: Column) -> DataFrame:
     return counts.groupBy(item).agg(total.alias("n"), F.round(1 - F.sum(F.col("count") * F.col("count")) / (total * total), 6).alias("gini_simpson"))
 
 
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, name: str = "quantile") -> DataFrame:
+    """(keys, name): the exact quantile of the values of every key, interpolated; null values do not count.
+
+    Values are ranked by ranges, so that the values of a frequent key do not
+    meet in one task; only the two around the quantile are looked up.
+    """
+    own = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = ranked(own, keys, ["_v"], "_r")
+    n = own.groupBy(*keys).agg(((F.count("*") - 1) * q).alias("_at"))
+    same = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    near = rows.alias("a").join(n.alias("b"), same).select(*[F.col(f"a.{k}") for k in keys], "_v", "_r", "_at").where((F.col("_r") - 1 == F.floor("_at")) | (F.col("_r") - 1 == F.ceil("_at")))
+    low, high = F.min("_v"), F.max("_v")
+    return near.groupBy(*keys).agg((low + (high - low) * F.max(F.col("_at") - F.floor("_at"))).alias(name))
+
+
 def fast_share(df: DataFrame, keys: list[str], correct: Column, speedup: Column, *, thresholds: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:
     """Counts, shares above strict speed-up thresholds, exact median and mean; rows without a reference keep their place in n."""
-    fast = F.when(correct, speedup)
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(correct).alias("n_correct"), F.count("_ref").alias("n_with_ref"),
-        *[F.count_if(fast > t).alias(f"fast_{t:g}x") for t in thresholds],
-        F.round(F.median(fast), 6).alias("median_speedup"), F.round(F.avg(fast), 6).alias("mean_speedup"),
-    )
+    rows = df.select(*keys, correct.alias("_ok"), "_ref", F.when(correct, speedup).alias("_fast"))
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("_ok").alias("n_correct"), F.count("_ref").alias("n_with_ref"), *[F.count_if(F.col("_fast") > t).alias(f"fast_{t:g}x") for t in thresholds], F.round(F.avg("_fast"), 6).alias("mean_speedup"))
+    return own.join(exact_quantile(rows, keys, "_fast", name="_median"), keys, "left").withColumn("median_speedup", F.round("_median", 6)).drop("_median")
 
 
 def histogram(df: DataFrame, keys: list[str], status: Column, values: list[str]) -> DataFrame:

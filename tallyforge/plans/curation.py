@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import code as C
 from tallyforge.functions import text as T
 from tallyforge.functions import verdict as V
-from tallyforge.operators import curate
+from tallyforge.operators import curate, metrics
 from tallyforge.plans.catalogue import query
 from tallyforge.runtime import table
 
@@ -36,7 +36,8 @@ def funnel_rollup(spark: SparkSession, d: str) -> DataFrame:
 select source, count(*) n, round(count(*) / sum(count(*)) over (), 6) share, cast(quantile_cont(length(text), 0.5) as double) median_length from documents where text is not null group by source
 """)
 def mixture_share(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").where("text is not null").groupBy("source").agg(F.count("*").alias("n"), F.percentile(F.length("text"), 0.5).alias("median_length"))
+    own = table(spark, d, "documents").where("text is not null").select("source", F.length("text").alias("length"))
+    n = own.groupBy("source").agg(F.count("*").alias("n")).join(metrics.exact_quantile(own, ["source"], "length", name="median_length"), "source")
     return n.select("source", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"), "median_length")
 
 

@@ -268,9 +268,12 @@ select event_type, round(med, 6) med, round(mad, 6) mad, (select count(*) from e
 """)
 def mad_normalised(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "value")
-    med = e.groupBy("event_type").agg(F.median("value").alias("med"))
-    mad = e.join(F.broadcast(med), "event_type").groupBy("event_type", "med").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return e.join(F.broadcast(mad), "event_type").groupBy("event_type").agg(F.round(F.first("med"), 6).alias("med"), F.round(F.first("mad"), 6).alias("mad"), F.count_if(F.abs(F.col("value") - F.col("med")) > 3 * F.col("mad")).alias("outliers"))
+    # as many rows as there are types
+    med = metrics.exact_quantile(e, ["event_type"], "value", name="med")
+    off = e.join(med, "event_type").select("event_type", "med", F.abs(F.col("value") - F.col("med")).alias("off"))
+    mad = metrics.exact_quantile(off, ["event_type"], "off", name="mad")
+    far = off.join(mad, "event_type")
+    return far.groupBy("event_type").agg(F.round(F.max("med"), 6).alias("med"), F.round(F.max("mad"), 6).alias("mad"), F.count_if(F.col("off") > 3 * F.col("mad")).alias("outliers"))
 
 
 @query("""

@@ -17,19 +17,58 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan that drops a torn last line (malformed, without a line end) of a file and fails on any other malformed line.
 
-    Whether a file's last line is torn needs the file's end only: a bad line
-    must be its file's last one, checked by counting from each line's offset.
+    Lines are rows, so a file of any size is split like any other text. A
+    file's last line is the one of the largest offset, and it lacks its line
+    end when the lines with theirs are one byte longer than the file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\n").alias("_lines"))
-    each = lines.select("_file", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_at", "_line")).where(F.trim("_line") != "")
-    parsed = each.withColumn("_bad", F.try_parse_json("_line").isNull()).withColumn("_r", F.from_json("_line", schema))
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("_file"), meta["file_size"].alias("_size"), F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("_at"), F.col("value").alias("_line"))
+    files = lines.groupBy("_file").agg(F.max("_at").alias("_last"), (F.sum(F.octet_length("_line") + 1) > F.max("_size")).alias("_open"))
+    each = lines.where(F.trim(F.regexp_replace("_line", r"\r$", "")) != "").withColumn("_bad", F.try_parse_json("_line").isNull())
+    judged = each.join(files, "_file").withColumn("_r", F.from_json("_line", schema))
     bad = F.col("_bad")
-    torn = bad & (F.col("_at") == F.col("_n") - 1)
-    message = F.concat(F.lit("malformed line in "), "_file", F.lit(" at line "), (F.col("_at") + 1).cast("string"))
-    checked = parsed.where(~torn).where(F.assert_true(~bad, message).isNull())
+    torn = bad & F.col("_open") & (F.col("_at") == F.col("_last"))
+    message = F.concat(F.lit("malformed line in "), "_file", F.lit(": "), F.substring("_line", 1, 80))
+    # one condition on both sides of the join, so that nothing is raised before it is known which lines are torn
+    checked = judged.where(F.when(torn, False).when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
     return checked.select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
 
 
+def collect_objects(df: DataFrame, json: str, key: str, *keep: str, depth: int = 6) -> DataFrame:
+    """(keep, path, value) of every object that has a key, at any depth up to ``depth`` in a JSON text; values are variants.
+
+    A row of nested variants is exploded once per level; objects that were
+    found are not searched further.
+    """
+    tvf = df.sparkSession.tvf
+    level = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(json).alias("value"))
+    has = F.try_variant_get("value", f"$.{key}", "variant").isNotNull() & F.schema_of_variant("value").startswith("OBJECT")
+    found = level.where(has)
+    for _ in range(depth):
+        nested = level.where(~F.coalesce(has, F.lit(False)) & F.col("value").isNotNull() & F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
+        inner = nested.select(*keep, "path", F.col("value").alias("_outer")).lateralJoin(tvf.variant_explode(F.col("_outer").outer()))
+        level = inner.select(*keep, F.concat_ws("/", F.nullif("path", F.lit("")), F.coalesce("key", F.col("pos").cast("string"))).alias("path"), "value")
+        found = found.unionByName(level.where(has))
+    return found
+
+
+def seeds_by_role(spark: SparkSession, path: str, roles: dict[str, str], id_depth: int = 1) -> DataFrame:
+    """(id, a column per role): the text files of every item gathered by what their names say they are.
+
+    ``roles`` maps a column to a pattern of file names; the item is the path's
+    last ``id_depth`` folders. Of several files of a role the one of the
+    shortest, then smallest name is taken.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"), F.col("value").alias("_text"))
+    parts = F.split("_path", "/")
+    item = F.array_join(F.slice(parts, F.size(parts) - id_depth, F.lit(id_depth)), "/")
+    role = F.lit(None).cast("string")
+    for name, pattern in reversed(roles.items()):
+        role = F.when(F.col("_name").rlike(pattern), name).otherwise(role)
+    text = lambda r: F.min_by(F.when(F.col("_role") == r, F.col("_text")), F.when(F.col("_role") == r, F.struct(F.length("_name"), F.col("_name")))).alias(r)
+    return files.withColumn("_role", role).where("_role is not null").groupBy(item.alias("id")).agg(*[text(r) for r in roles])
+
+
 def read_ragged_csv(spark: SparkSession, path: str, fixed: list[str], rest: str, header: bool = False) -> DataFrame:
     """Lines of ``fixed`` leading fields and any number of further ones, gathered in an array column."""
     lines = spark.read.text(path)

@@ -83,3 +83,33 @@ def test_merge_of_deliveries(spark, tmp_path):
     write(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, at int, v string"), 0)
     write(spark.createDataFrame([("a", 3, "z"), ("b", 1, "w")], "id string, at int, v string"), 1)
     assert sorted((r.id, r.v) for r in logs.latest(spark.read.parquet(path), ["id"], ["at"]).collect()) == [("a", "z"), ("b", "w")]
+
+
+def test_objects_at_any_depth_and_seeds_by_role(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"a": {"compiled": true}, "b": [{"x": {"compiled": false, "y": {"compiled": 1}}}], "c": 3}'), (2, '[{"compiled": null}]'), (3, "no json"), (4, None)], "k int, j string")
+    got = {(r.k, r.path) for r in files.collect_objects(rows, "j", "compiled", "k").collect()}
+    assert got == {(1, "a"), (1, "b/0/x"), (2, "0")}
+    for name, text in {"d/one/prompt.txt": "p", "d/one/one_ref.sv": "module a;", "d/one/longer_ref.sv": "module b;", "d/two/prompt.txt": "q", "d/two/notes.md": "n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    seeds = files.seeds_by_role(spark, str(tmp_path / "d"), {"prompt": "^prompt", "reference": r"_ref\.sv$"})
+    assert sorted(map(tuple, seeds.collect())) == [("one", "p", "module a;"), ("two", "q", None)]
+
+
+def test_torn_lines_by_file_and_offset(spark, tmp_path):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([StructField("a", LongType())])
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\r\n{"a": 3')
+    (tmp_path / "y.jsonl").write_text('{"a": 4}\n{"a": 5}')
+    (tmp_path / "z.jsonl").write_text("".join(f'{{"a": {i}}}\n' for i in range(100, 3000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted(r.a for r in files.read_jsonl_tolerant(spark, str(tmp_path), schema).collect())
+        assert got == [1, 2, 4, 5, *range(100, 3000)]
+        (tmp_path / "w.jsonl").write_text('{"a": 1}\n{"a": \n')
+        with pytest.raises(Exception, match="malformed"):
+            files.read_jsonl_tolerant(spark, str(tmp_path), schema).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
