@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import digest
+from tallyforge.functions.text import bound, digest
 
 #: Wording by which responses and logs are taken apart (fixed values).
 THINK = r"(?s)<think>.*?</think>"
@@ -25,24 +25,30 @@ def _stripped(text: Column) -> Column:
 
 def regions(raw: Column) -> Column:
     """Where code may be: closed fences, then [BEGIN] to [DONE] without fence lines, then what follows an unclosed fence."""
-    t = F.regexp_replace(F.regexp_replace(raw, THINK, ""), TAGS, "")
-    marked = F.transform(_every(t, r"(?s)\[BEGIN\](.*?)\[DONE\]", 1), lambda x: F.regexp_replace(x, r"(?m)^[ \t]*```.*$", ""))
-    pieces = F.split(t, "```")
-    open_tail = F.when(F.size(pieces) % 2 == 0, F.array(F.element_at(pieces, -1))).otherwise(F.array().cast("array<string>"))
-    return F.concat(_every(t, FENCE, 1), marked, open_tail)
+    def found(t: Column) -> Column:
+        marked = F.transform(_every(t, r"(?s)\[BEGIN\](.*?)\[DONE\]", 1), lambda x: F.regexp_replace(x, r"(?m)^[ \t]*```.*$", ""))
+        open_tail = bound(F.split(t, "```"), lambda p: F.when(F.size(p) % 2 == 0, F.array(F.element_at(p, -1))).otherwise(F.array().cast("array<string>")))
+        return F.concat(_every(t, FENCE, 1), marked, open_tail)
+
+    return bound(F.regexp_replace(F.regexp_replace(raw, THINK, ""), TAGS, ""), found)
+
+
+def _whole(parts: Column) -> Column:
+    return F.flatten(F.transform(parts, lambda r: _every(r, r"(?s)\bmodule\b.*?endmodule")))
 
 
 def complete_modules(raw: Column) -> Column:
     """Whole modules of every region, in order."""
-    return F.flatten(F.transform(regions(raw), lambda r: _every(r, r"(?s)\bmodule\b.*?endmodule")))
+    return _whole(regions(raw))
 
 
 def picked_module(raw: Column) -> Column:
     """(code, status): the last whole module, else the last one that lacks its end, else nothing."""
-    whole = complete_modules(raw)
-    cut = F.flatten(F.transform(F.filter(regions(raw), lambda r: ~F.contains(r, F.lit("endmodule"))), lambda r: _every(r, r"(?s)\bmodule\b.*")))
+    cut = lambda parts: F.flatten(F.transform(F.filter(parts, lambda r: ~F.contains(r, F.lit("endmodule"))), lambda r: _every(r, r"(?s)\bmodule\b.*")))
     some = lambda code, status: F.struct(_stripped(F.element_at(code, -1)).alias("code"), F.lit(status).alias("status"))
-    return F.when(F.size(whole) > 0, some(whole, "complete")).when(F.size(cut) > 0, some(cut, "truncated")).otherwise(F.struct(F.lit("").alias("code"), F.lit("empty").alias("status")))
+    nothing = F.struct(F.lit("").alias("code"), F.lit("empty").alias("status"))
+    second = lambda parts: bound(cut(parts), lambda c: F.when(F.size(c) > 0, some(c, "truncated")).otherwise(nothing))
+    return bound(regions(raw), lambda parts: bound(_whole(parts), lambda w: F.when(F.size(w) > 0, some(w, "complete")).otherwise(second(parts))))
 
 
 def module_candidates(raw: Column) -> Column:
@@ -52,12 +58,15 @@ def module_candidates(raw: Column) -> Column:
 
 def picked_kernel(raw: Column) -> Column:
     """(code, status): the longest fenced block with a compiled kernel; partial for a fragment, empty without any block."""
-    blocks = _every(answer_body(raw), FENCE, 1)
     longest = lambda x: F.reduce(x, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    jit = F.filter(blocks, lambda b: F.contains(b, F.lit("@triton.jit")))
-    whole = F.filter(jit, lambda b: b.rlike(r"\bdef\b"))
     some = lambda code, status: F.struct(code.alias("code"), F.lit(status).alias("status"))
-    return F.when(F.size(blocks) == 0, some(F.lit(""), "empty")).when(F.size(whole) > 0, some(_stripped(longest(whole)), "complete")).when(F.size(jit) > 0, some(_stripped(longest(jit)), "partial")).otherwise(some(F.lit(""), "partial"))
+
+    def chosen(blocks: Column) -> Column:
+        jit = F.filter(blocks, lambda b: F.contains(b, F.lit("@triton.jit")))
+        whole = F.filter(jit, lambda b: b.rlike(r"\bdef\b"))
+        return F.when(F.size(blocks) == 0, some(F.lit(""), "empty")).when(F.size(whole) > 0, some(_stripped(longest(whole)), "complete")).when(F.size(jit) > 0, some(_stripped(longest(jit)), "partial")).otherwise(some(F.lit(""), "partial"))
+
+    return bound(_every(answer_body(raw), FENCE, 1), chosen)
 
 
 def recoverable(new: Column, status: Column, old: Column, end: str | None = "endmodule") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def normalised(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(F.regexp_replace(text, COMMENT, " ")), F.lit(TOKEN), F.lit(0)), " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: bound as the variable of a lambda, it is not made again wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -27,8 +34,7 @@ def ngrams(tokens: Column, n: int = 5) -> Column:
         at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i + 1, n), " ")))
 
-    # bound as the variable of a lambda, the tokens are made once and not again for every run
-    return F.element_at(F.transform(F.array(tokens), runs), 1)
+    return bound(tokens, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -79,14 +85,18 @@ def port_list(source: Column) -> Column:
     The width is 1 or the expression (msb)-(lsb)+1 as written.
     """
     header = F.regexp_extract(source, r"(?is)\bmodule\s+[A-Za-z_]\w*\s*\((.*?)\)\s*;", 1)
-    within = F.when(header == "", source).otherwise(header)
-    part = lambda i: F.regexp_extract_all(within, F.lit(_DECLARED), F.lit(i))
-    found = F.arrays_zip(part(1).alias("d"), part(2).alias("msb"), part(3).alias("lsb"), part(4).alias("n"))
-    named = F.filter(found, lambda p: ~F.lower(p["n"]).isin(*KEYWORDS))
-    names = F.transform(named, lambda p: p["n"])
-    once = F.filter(named, lambda p, i: F.array_position(names, p["n"]) == i + 1)
     width = lambda p: F.when(F.coalesce(p["msb"], F.lit("")) == "", "1").otherwise(F.concat(F.lit("("), p["msb"], F.lit(")-("), p["lsb"], F.lit(")+1")))
-    return F.transform(once, lambda p: F.struct(F.lower(p["d"]).alias("direction"), p["n"].alias("name"), width(p).alias("width")))
+
+    def declared(within: Column) -> Column:
+        part = lambda i: F.regexp_extract_all(within, F.lit(_DECLARED), F.lit(i))
+        found = F.arrays_zip(part(1).alias("d"), part(2).alias("msb"), part(3).alias("lsb"), part(4).alias("n"))
+        return F.filter(found, lambda p: ~F.lower(p["n"]).isin(*KEYWORDS))
+
+    def once(named: Column) -> Column:
+        own = bound(F.transform(named, lambda p: p["n"]), lambda names: F.filter(named, lambda p, i: F.array_position(names, p["n"]) == i + 1))
+        return F.transform(own, lambda p: F.struct(F.lower(p["d"]).alias("direction"), p["n"].alias("name"), width(p).alias("width")))
+
+    return bound(bound(bound(header, lambda h: F.when(h == "", source).otherwise(h)), declared), once)
 
 
 def ports(source: Column) -> Column:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import extract as X
 from tallyforge.functions import verdict as V
+from tallyforge.functions.text import bound
 
 
 def diagnosis(raw: Column, old: Column, passed: Column, missing: Column) -> Column:
     """What becomes of a sample: no_result, passed, empty, truncated, recoverable or clean."""
-    found = X.picked_module(raw)
-    return V.ladder((missing, "no_result"), (V.truthy(passed), "passed"), (found["status"] == "empty", "empty"), (found["status"] == "truncated", "truncated"), (X.recoverable(found["code"], found["status"], old), "recoverable"), otherwise="clean")
+    again = lambda found: V.ladder((found["status"] == "empty", "empty"), (found["status"] == "truncated", "truncated"), (X.recoverable(found["code"], found["status"], old), "recoverable"), otherwise="clean")
+    # samples without a result or with a pass are not looked at again
+    return F.when(missing, "no_result").when(V.truthy(passed), "passed").otherwise(bound(X.picked_module(raw), again))
 
 
 def flipped_rate(items: DataFrame, flips: DataFrame, item: str, n_samples: str, rate: str) -> DataFrame:

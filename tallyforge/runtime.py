@@ -17,12 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is only invented where the session names none (tests, local runs).
+    The folder is only invented where the session names none and runs in local
+    mode (tests); on a cluster that is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"tallyforge-checkpoints-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
@@ -36,12 +39,6 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list[Row]:
     return rows
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when a scan yields fewer partitions than cores."""
-    want = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of the keys: the same rows whatever the partitioning.
 
