@@ -144,18 +144,17 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
 
     Rows alike in all texts are one class, and classes meet in groups: those
     of a text (of an interface, or of all) and, by verified near pairs of the
-    distinct texts, those of its neighbours; so copies are never paired. Near
-    pairs meet on the shingles of a prefix in the order of their frequency.
+    distinct texts, those of its neighbours; so copies are never paired.
     Round by round a class is decided by the first one not rejected in its
     groups: itself, and it is accepted, or an accepted one, and it is
     rejected, or an open one, and it waits; this equals the sequential scan.
-    Shingles are compared by 64-bit hashes. Texts of less than ``n`` tokens
+    Texts are compared by digests, shingles and groups by 64-bit hashes. Texts of less than ``n`` tokens
     have no shingle and are all alike within an interface. Null texts and interfaces count as empty ones.
     """
     limits = {text: threshold} if isinstance(text, str) else text
-    base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.coalesce(F.col(interface), F.lit("")).alias("i"), *[T.normalised(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(limits)])
-    base = base.select("key", "ord", "i", *[c for k in range(len(limits)) for c in (F.transform(T.ngrams(F.split(f"t{k}", " "), n), lambda g: F.xxhash64(g)).alias(f"g{k}"), F.sha2(f"t{k}", 256).alias(f"d{k}"))])
-    alike = [F.when(F.size(f"g{k}") == 0, F.sha2(F.lit(""), 256)).otherwise(F.col(f"d{k}")).alias(f"c{k}") for k in range(len(limits))]
+    base = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.unhex(F.md5(F.coalesce(F.col(interface), F.lit("")))).alias("i"), *[T.normalised(F.coalesce(F.col(t), F.lit(""))).alias(f"t{k}") for k, t in enumerate(limits)])
+    base = base.select("key", "ord", "i", *[c for k in range(len(limits)) for c in (F.transform(T.ngrams(F.split(f"t{k}", " "), n), lambda g: F.xxhash64(g)).alias(f"g{k}"), F.unhex(F.md5(f"t{k}")).alias(f"d{k}"))])
+    alike = [F.when(F.size(f"g{k}") == 0, F.unhex(F.md5(F.lit("")))).otherwise(F.col(f"d{k}")).alias(f"c{k}") for k in range(len(limits))]
     base = checkpointed(base.select("*", *alike))
     # short texts are alike within an interface, but only equal ones across
     same = ["i", *[f"c{k}" for k in range(len(limits))], *([f"d{k}" for k in range(len(limits))] if across else [])]
@@ -163,10 +162,10 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
     classes = checkpointed(base.groupBy(*same).agg(F.min(F.struct("ord", "key")).alias("r"), *[F.any_value(c).alias(c) for c in rest]).select(*same, F.col("r.key").alias("key"), F.col("r.ord").alias("ord"), *rest))
     member, pairs = [], []
     for k, least in enumerate(limits.values()):
-        within = F.concat_ws("|", F.lit(f"i{k}"), F.sha2("i", 256), f"c{k}").alias("group")
+        within = F.xxhash64(F.lit(f"i{k}"), "i", f"c{k}").alias("group")
         member.append(classes.select("key", "ord", within))
         if across:
-            member.append(classes.select("key", "ord", F.concat_ws("|", F.lit(f"d{k}"), f"d{k}").alias("group")))
+            member.append(classes.select("key", "ord", F.xxhash64(F.lit(f"d{k}"), f"d{k}").alias("group")))
         values = classes.where(F.size(f"g{k}") > 0).groupBy("i", within).agg(F.any_value(f"g{k}").alias("g"))
         pairs.append(_near_pairs(values, least))
     member = checkpointed(reduce(DataFrame.unionByName, member))
@@ -186,14 +185,18 @@ def greedy_near_duplicates(df: DataFrame, key: str, order: str, interface: str,
 
 
 def _near_pairs(values: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) of the groups of one interface whose shingles reach the threshold; ``values`` are (i, group, g)."""
-    shingle = values.select("i", "group", F.size("g").alias("n"), F.explode("g").alias("s"))
-    frequency = shingle.groupBy("i", "s").agg(F.count("*").alias("f")).where("f > 1")
-    placed = shingle.join(frequency, ["i", "s"]).withColumn("p", F.row_number().over(Window.partitionBy("group").orderBy("f", "s")))
-    # shingles of one text only take the first places of the prefix
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("group"))
-    prefix = placed.withColumn("alone", alone).where(F.col("p") + F.col("alone") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("i", "s", "group", "n")
+    """(x, y) of the groups of one interface whose shingles reach the threshold; ``values`` are (i, group, g).
+
+    Two sets that reach it share a shingle within a prefix of each in the
+    order of the hashes, which needs no count over all rows, and of the first
+    one they share the places bound how many there can be.
+    """
+    n = F.size("g")
+    need = F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
+    prefix = values.select("i", "group", n.alias("n"), F.posexplode(F.slice(F.array_sort("g"), F.lit(1), n - need + 1)).alias("p", "s"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.group") < F.col("b.group")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))).select(F.col("a.group").alias("x"), F.col("b.group").alias("y")).distinct()
+    most = F.lit(1) + F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) - 1
+    alike = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9) & (most >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.group") < F.col("b.group")) & alike).select(F.col("a.group").alias("x"), F.col("b.group").alias("y")).distinct()
     sets = values.select("group", "g")
     return near.join(sets.toDF("x", "xg"), "x").join(sets.toDF("y", "yg"), "y").where(T.jaccard(F.col("xg"), F.col("yg")) >= threshold).select("x", "y")
