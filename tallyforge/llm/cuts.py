@@ -307,7 +307,8 @@ def sampled_values(long: DataFrame, lengths: DataFrame, intact: str, sample: int
     share = F.lit(0)
     for field, n in total.items():
         share = F.when(F.col("field") == field, int(min(1.0, (1.2 * sample + 100) / max(1, n)) * (1 << 20)) + 1).otherwise(share)
-    rows = long.where(intact).where(h < share).select("field", "value", "source", h.alias("h"), "key").collect()
+    # a key of many rows has one hash, so the number of rows is bounded as well
+    rows = long.where(intact).where(h < share).select("field", "value", "source", h.alias("h"), "key").orderBy("h", "key").limit(max(1, len(total)) * (2 * sample + 1000)).collect()
     rows.sort(key=lambda r: (r.field, r.h, r.key))
     out, used = [], Counter()
     for r in rows:

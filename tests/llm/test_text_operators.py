@@ -271,3 +271,9 @@ def test_near_duplicate_maps_and_groups(spark):
 def test_threshold_gives_the_best_f1():
     assert 0.2 < linear.threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.8
     assert linear.threshold(np.zeros(0), np.zeros(0)) == 0.0
+
+
+def test_a_key_of_many_rows_does_not_swell_the_sample(spark):
+    df = spark.range(3000).selectExpr("cast(case when id % 3 = 0 then 7 else id end as long) no", "concat('The unit reads word ', id, ' and writes it.') content", "'s' source")
+    long = cuts.long_form(df, "no", "source", ["content"])
+    assert len(cuts.sampled_values(long, cuts.value_lengths(long, "true"), "true", 50)) <= 50
