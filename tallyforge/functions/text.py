@@ -76,6 +76,7 @@ def modules(text: Column) -> Column:
 
 #: Words that a port cannot be named (fixed value).
 KEYWORDS = "always and assign begin case else end endmodule for if inout input module not or output reg wire xor".split()
+#: How a port is declared (fixed value).
 _DECLARED = r"(?i)\b(input|output|inout)\b\s*(?:wire|reg|logic)?\s*(?:signed\b|unsigned\b)?\s*(?:\[\s*([^:\]]+)\s*:\s*([^\]]+)\s*\])?\s*([A-Za-z_]\w*)"
 
 
