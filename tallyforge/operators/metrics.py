@@ -119,3 +119,26 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """Unbiased estimate of passing at least once in ``k`` of ``n`` samples with ``c`` passes."""
     miss = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda p, i: p * (n - c - i) / (n - i))
     return F.when(n < k, F.lit(None).cast("double")).when(n - c < k, 1.0).otherwise(1 - miss)
+
+
+def allclose(reference: Column, candidate: Column, atol: float = 1e-4, rtol: float = 1e-4) -> Column:
+    """Whether two arrays have the same length and every element lies within atol + rtol * |candidate|; NaN equals NaN, a null only a null."""
+
+    def near(x: Column, y: Column) -> Column:
+        apart = F.abs(x - y) <= F.lit(atol) + F.lit(rtol) * F.abs(y)
+        return F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull()).when(F.isnan(x) | F.isnan(y), F.isnan(x) & F.isnan(y)).otherwise((x == y) | apart)
+
+    same_size = F.size(reference) == F.size(candidate)
+    return F.when(reference.isNull() | candidate.isNull(), reference.isNull() & candidate.isNull()).when(~same_size, False).otherwise(F.forall(F.zip_with(reference, candidate, near), lambda x: x))
+
+
+def consistency(df: DataFrame, item: str, passed: Column) -> DataFrame:
+    """(n_items, capable, reliable): shares of items with any and with only passing samples."""
+    own = df.groupBy(item).agg(F.bool_or(passed).alias("any"), F.bool_and(passed).alias("all"))
+    return own.agg(F.count("*").alias("n_items"), F.round(F.avg(F.col("any").cast("double")), 6).alias("capable"), F.round(F.avg(F.col("all").cast("double")), 6).alias("reliable"))
+
+
+def ratio_drift(df: DataFrame, keys: list[str], log_ratio: Column, clip: float) -> DataFrame:
+    """(keys, n, mean_log_ratio, clipped, max_ratio): how far two policies are apart; clipped is the share of ratios outside 1 -/+ clip."""
+    ratio = F.exp(log_ratio)
+    return df.groupBy(*keys).agg(F.count(log_ratio).alias("n"), F.round(F.avg(log_ratio), 6).alias("mean_log_ratio"), F.round(F.avg((F.abs(ratio - 1) > clip).cast("double")), 6).alias("clipped"), F.round(F.max(ratio), 6).alias("max_ratio"))

@@ -360,3 +360,34 @@ select user_id, min(ts) start, count(*) n from g group by user_id, s
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""
+with e as (select vec_id, embedding x from embeddings),
+j as (select a.vec_id, list_transform(a.x, lambda v, i: case when i = 2 and a.vec_id % 3 = 0 then 'nan'::double else v::double end) x, case when a.vec_id % 5 = 0 then list_transform(a.x, lambda v: v::double)[1:3] else list_transform(a.x, lambda v, i: case when i = 2 and a.vec_id % 3 <> 1 then 'nan'::double when a.vec_id % 7 = 0 then v::double + 0.5 else v::double end) end y from e a)
+select vec_id, len(x) = len(y) and len(list_filter(list_zip(x, y), lambda p: not (case when isnan(p[1]) or isnan(p[2]) then isnan(p[1]) and isnan(p[2]) else abs(p[1] - p[2]) <= 0.0001 + 0.0001 * abs(p[2]) end))) = 0 allclose from j
+""")
+def allclose_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays against copies that are shorter, shifted, or hold NaN in some places."""
+    e = table(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("v"))
+    nan = F.lit(float("nan"))
+    k = F.col("vec_id")
+    x = F.transform("v", lambda v, i: F.when((i == 1) & (k % 3 == 0), nan).otherwise(v))
+    y = F.when(k % 5 == 0, F.slice("v", 1, 3)).otherwise(F.transform("v", lambda v, i: F.when((i == 1) & (k % 3 != 1), nan).when(k % 7 == 0, v + 0.5).otherwise(v)))
+    return e.select("vec_id", metrics.allclose(x, y).alias("allclose"))
+
+
+@query("""
+with i as (select l_orderkey, bool_or(l_returnflag <> 'R') a, bool_and(l_returnflag <> 'R') b from lineitem group by 1)
+select count(*) n_items, round(avg(a::int), 6) capable, round(avg(b::int), 6) reliable from i
+""")
+def capability_and_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.consistency(table(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") != "R")
+
+
+@query("""
+with e as (select event_type, (value - 50) / 200 r from events)
+select event_type, count(r) n, round(avg(r), 6) mean_log_ratio, round(avg((abs(exp(r) - 1) > 0.2)::int), 6) clipped, round(max(exp(r)), 6) max_ratio from e group by 1
+""")
+def ratio_drift(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ratio_drift(table(spark, d, "events"), ["event_type"], (F.col("value") - 50) / 200, 0.2)

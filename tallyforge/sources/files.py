@@ -136,6 +136,15 @@ def write_table_row(df: DataFrame, columns: list[str], path: str) -> None:
     df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_pivot_csv(df: DataFrame, rows: str, columns: str, value: str, names: list[str], path: str) -> None:
+    """A line per value of ``rows`` and a column per name; of several values of a cell the first in order, none is an empty cell.
+
+    The names are given, so that no extra job looks for them.
+    """
+    table = df.groupBy(rows).agg(*[F.min(F.when(F.col(columns) == n, F.col(value))).alias(n) for n in names])
+    table.orderBy(rows).write.mode("overwrite").option("header", True).csv(path)
+
+
 class Registry:
     """Named adapters; a repeated or an unknown name is an error."""
 

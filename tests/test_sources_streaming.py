@@ -113,3 +113,10 @@ def test_torn_lines_by_file_and_offset(spark, tmp_path):
             files.read_jsonl_tolerant(spark, str(tmp_path), schema).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_pivot_csv(spark, tmp_path):
+    df = spark.createDataFrame([("m", "a", 1.5), ("m", "b", 2.0), ("n", "a", 3.0), ("n", "a", 4.0), ("o", "x", 1.0)], "model string, task string, rate double")
+    files.write_pivot_csv(df, "model", "task", "rate", ["a", "b"], str(tmp_path / "p"))
+    got = sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "p")).collect())
+    assert got == [("m", "1.5", "2.0"), ("n", "3.0", None), ("o", None, None)]
