@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linear import Linear, Rows, fit_logistic, hashed, threshold
+from tallyforge.llm.tokens import chunks
 from tallyforge.runtime import bounded_rows, checkpointed
 
 #: Most values of each field that the model is fitted on.
@@ -50,6 +52,7 @@ def placeholder(value: str) -> bool:
     return len(value) < 120 and _PLACEHOLDER.fullmatch(value) is not None
 
 
+@lru_cache(1 << 16)
 def _word(t: str) -> str:
     if t[0] == "\n":
         return "\n" if len(t) == 1 else "\n\n"
@@ -108,6 +111,17 @@ def vocabulary(values: list[str]) -> dict[str, tuple[int, int]]:
     return {w: (a, b) for w, (a, b) in out.items() if a > 1}
 
 
+def counted_words(values: list[str]) -> dict[str, list[int]]:
+    """The counts of :func:`vocabulary` for all words of a batch, those seen once included."""
+    out: dict[str, list[int]] = {}
+    for a, b in chunks(values, 1 << 18):
+        for (w, end), n in Counter(_PROSE.findall("\n".join(values[a:b]).lower() + "\n")).items():
+            both = out.setdefault(w, [0, 0])
+            both[0] += n
+            both[1] += n if end else 0
+    return out
+
+
 def near_limit(source: str | None, n: int, limits: frozenset[tuple[str, int]]) -> str:
     """Distance of a length to the next limit of its source: 0 at it, else the bits of what is missing, no for none near."""
     if not limits or (source, n) in limits:
@@ -115,10 +129,10 @@ def near_limit(source: str | None, n: int, limits: frozenset[tuple[str, int]]) -
     return next((f"-{k.bit_length()}" for k in range(1, 9) if (source, n + k) in limits), "no")
 
 
-def features(value: str, limit: str = "no", known: dict[str, tuple[int, int]] | None = None, own: bool = False) -> tuple[list[str], bool]:
+def features(value: str, limit: str = "no", known: dict[str, tuple[float, float]] | None = None, own: float = 0) -> tuple[list[str], bool]:
     """Feature strings of the end of a value, and whether it ends inside a fence, tag or code block.
 
-    ``known`` is the vocabulary; ``own`` says that the value was counted in it,
+    ``known`` is the vocabulary; ``own`` is what the value itself counts in it,
     so that its last word is taken out again.
     """
     t = value.rstrip().rstrip(_INVISIBLE).rstrip()
@@ -163,8 +177,8 @@ def features(value: str, limit: str = "no", known: dict[str, tuple[int, int]] |
         if known is not None:
             n, closes = known.get(raw_last.lower(), (0, 0))
             if own:
-                n, closes = max(0, n - 1), max(0, closes - 1)
-            out.append(f"known:{min(5, n.bit_length())}:{-1 if n < 4 else min(4, int(16 * closes / n))}:{raw_last.isascii()}")
+                n, closes = max(0, n - own), max(0, closes - own)
+            out.append(f"known:{min(5, int(n).bit_length())}:{-1 if n < 4 else min(4, int(16 * closes / n))}:{raw_last.isascii()}")
     if code is None:
         stopped = t[-1:] in _CLOSING
         sentence = t[max(t.rfind(x, 0, len(t) - 1) + len(x) if x in t else 0 for x in _STOPS) :]
@@ -245,10 +259,10 @@ def fit(intact: list[tuple[str, str | None]], limits: frozenset[tuple[str, int]]
     made: list[list[np.ndarray]] = []
     bare: list[np.ndarray | None] = []
     for v, s in intact:
-        base.append(hashed(features(v, near_limit(s, len(v), limits), known, own=True)[0]))
+        base.append(hashed(features(v, near_limit(s, len(v), limits), known, own=1)[0]))
         stripped = v.rstrip()
         other = stripped[:-1] if stripped.endswith((".", "。")) else damaged(v, rng)
-        bare.append(hashed(features(other, "no", known, own=True)[0]) if other and rng.random() < 0.4 else None)
+        bare.append(hashed(features(other, "no", known, own=1)[0]) if other and rng.random() < 0.4 else None)
         cuts = [c for c in (cut(v, rng) for _ in range(copies)) if c]
         made.append([hashed(features(c, "0" if limits and rng.random() < 0.3 else "no", known)[0]) for c in cuts])
     keep = np.array([(s, len(v)) not in limits for v, s in intact], bool)

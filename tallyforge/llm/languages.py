@@ -1,7 +1,7 @@
-"""Natural language of prose by hashed byte 4-grams, fitted on a sample of the corpus.
+"""Natural language of prose by hashed byte 4-grams, fitted on the corpus.
 
-Texts of the sample are labelled by function words and scripts; on these a
-naive Bayes model of 4-grams is fitted, labels every segment of the sample
+Texts are labelled by function words and scripts; on these a
+naive Bayes model of 4-grams is fitted, labels every segment
 again and is fitted once more. Source code is a class of its own. Prose whose 4-grams are
 rarer than those of any class is judged by function words and scripts, and is in
 another language where these tell nothing.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tallyforge.llm.tokens import LOWER, U, mix
+from tallyforge.llm.tokens import LOWER, U, chunks, mix
 
 BITS = 16
 CODE, OTHER = "code", "other"
@@ -23,6 +23,10 @@ CODE, OTHER = "code", "other"
 LEAST_SEGMENTS, LEAST_SEGMENT, LEAST_TEXT = 8, 8, 16
 #: Share of a 4-gram that was not seen, and how far below all texts of a class another language must lie (in units of a text of one 4-gram).
 UNSEEN, APART = 2e-6, 5.0
+#: Bins in which deviations from the mean are counted: the lowest, width, number; those beyond count in the outermost.
+LOWEST, BIN, BINS = -896.0, 1 / 16, 1 << 14
+#: Characters that are worked on at once.
+PART = 1 << 20
 
 #: Function words by which segments get their first label (fixed values).
 SEEDS = {
@@ -38,6 +42,7 @@ SEEDS = {
 }
 #: Scripts that stand for a language (fixed values).
 SCRIPTS = {"ja": "[぀-ヿ]", "ko": "[가-힯]", "zh": "[一-鿿]", "ru": "[Ѐ-ӿ]", "ar": "[؀-ۿ]", "el": "[Ͱ-Ͽ]", "he": "[֐-׿]", "hi": "[ऀ-ॿ]"}
+LABELS = sorted({*SEEDS, *SCRIPTS})
 _OF = {w: [k for k, v in SEEDS.items() if w in v.split()] for v in SEEDS.values() for w in v.split()}
 _SCRIPT = {k: re.compile(v) for k, v in SCRIPTS.items()}
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -91,49 +96,100 @@ class Segments:
         fine = plain[:-3] & plain[1:-2] & plain[2:-1] & plain[3:]
         at = np.flatnonzero(fine)
         gram = np.lib.stride_tricks.as_strided(b, (len(b) - 3, 4), (1, 1))[at].view(np.uint32).ravel().astype(U)
-        used, of = np.unique(segment[at], return_inverse=True)
-        first = np.searchsorted(segment, used)
+        # segments come in order, so they need not be sorted
+        own = segment[at]
+        new = np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))
+        of = np.cumsum(new) - 1
+        first = np.searchsorted(segment, own[new])
         return cls((mix(gram) >> U(64 - BITS)).astype(np.int64), of, np.searchsorted(ends, first, "right"))
 
 
+def seeded(texts: list[str], code: list[str]) -> dict[str, np.ndarray]:
+    """Number of each 4-gram in the texts of each of LABELS, as function words and scripts label them, and in code; number of segments of each label, and of all."""
+    # a single segment often has words of several languages only, so all of a text get its label
+    label = np.array([-1 if (k := seed_language(t)) is None else LABELS.index(k) for t in texts], np.int64)
+    m = len(LABELS) + 1
+    grams, segments = np.zeros((1 << BITS, m)), np.zeros(m)
+    for a, b in chunks(texts, PART):
+        s = Segments.cut(texts[a:b])
+        own = label[a:b][s.text]
+        at = own[s.of] >= 0 if len(s.of) else np.zeros(0, bool)
+        grams += np.bincount(s.gram[at] * m + own[s.of[at]], minlength=grams.size).reshape(grams.shape) if at.any() else 0
+        segments += np.bincount(np.where(own < 0, m - 1, own), minlength=m)
+    segments[-1] = segments.sum()
+    for a, b in chunks(code, PART):
+        grams[:, -1] += np.bincount(Segments.cut(code[a:b]).gram, minlength=1 << BITS)
+    return {"grams": grams, "segments": segments}
+
+
+def _logs(n: np.ndarray) -> np.ndarray:
+    """Logs of the shares of 4-grams; what was not seen is as unlikely in a class of few segments as in one of many."""
+    return np.log(n / np.maximum(n.sum(axis=0), 1) + UNSEEN).astype(np.float32)
+
+
 @dataclass
 class Languages:
     names: list[str]
     logs: np.ndarray  # logs[gram, class]
-    mean: np.ndarray  # mean log of the 4-grams of a class
+    mean: np.ndarray  # mean log of the 4-grams of a class; 0 where none were counted
     floor: np.ndarray  # lowest deviation of a text from it, times the root of its 4-grams
 
     @classmethod
     def fit(cls, texts: list[str], code: list[str]) -> Languages:
-        """Fit on prose of any languages and on source code."""
-        # a single segment often has words of several languages only, so all of a text get its label
-        cut = [(p, k) for t in texts for k in [seed_language(t)] for p in re.split(r"\n|(?<=[.!?。])\s*", t) if len(p) > 3]
-        parts, label = [p for p, _ in cut], [k for _, k in cut]
-        seen = Counter(x for x in label if x)
-        names = [*sorted(k for k, n in seen.items() if n >= max(LEAST_SEGMENTS, 0.002 * len(parts))), CODE]
-        own = [(p, names.index(x)) for p, x in zip(parts, label, strict=True) if x in names]
-        lines = [p for t in code for p in t.split("\n") if len(p.strip()) > 3]
-        model = cls(names, np.zeros((1 << BITS, len(names)), np.float32), np.zeros(len(names)), np.full(len(names), -np.inf))
-        model._count([p for p, _ in own] + lines, np.array([k for _, k in own] + [len(names) - 1] * len(lines), np.int64))
-        # segments without a seed word are labelled by the model, and all counted again
-        s = Segments.cut(parts)
-        best, n, _ = model._segments(s)
-        whole = [(parts[t], int(k)) for t, k, m in zip(s.text.tolist(), best.tolist(), n.tolist(), strict=True) if m >= LEAST_SEGMENT and k < len(names) - 1]
-        if whole:
-            model._count([p for p, _ in whole] + lines, np.array([k for _, k in whole] + [len(names) - 1] * len(lines), np.int64))
-            k, quality, n = model._texts(texts)
-            for i in range(len(names) - 1):
-                if (k == i).any():
-                    model.mean[i] = np.average(quality[k == i], weights=n[k == i])
-                    model.floor[i] = np.quantile((quality[k == i] - model.mean[i]) * np.sqrt(n[k == i]), 0.0005) - APART
-        return model
-
-    def _count(self, parts: list[str], label: np.ndarray) -> None:
-        s = Segments.cut(parts)
+        """Fit on prose of any languages and on source code that are at hand; what is spread over tasks is fitted by the same steps, with sums over all tasks between them."""
+        first = seeded(texts, code)
+        model = cls.started(first)
+        model = model.refined(first, model.relabelled(texts))
+        return model.bounded(model.deviations(texts))
+
+    @classmethod
+    def started(cls, first: dict[str, np.ndarray]) -> Languages:
+        """The model of the texts that :func:`seeded` could label."""
+        seen, every = first["segments"][:-1], first["segments"][-1]
+        used = [k for k, n in enumerate(seen) if n >= max(LEAST_SEGMENTS, 0.002 * every)]
+        names = [*(LABELS[k] for k in used), CODE]
+        return cls(names, _logs(first["grams"][:, [*used, len(LABELS)]]), np.zeros(len(names)), np.full(len(names), -np.inf))
+
+    def relabelled(self, texts: list[str]) -> np.ndarray:
+        """Number of each 4-gram in the segments of each language as this model labels them."""
         k = len(self.names)
-        n = np.bincount(s.gram * k + label[s.text[s.of]], minlength=(1 << BITS) * k).reshape(-1, k) if len(s.gram) else np.zeros((1 << BITS, k))
-        # what was not seen is as unlikely in a class of few segments as in one of many
-        self.logs = np.log(n / np.maximum(n.sum(axis=0), 1) + UNSEEN).astype(np.float32)
+        out = np.zeros((1 << BITS, k - 1))
+        for a, b in chunks(texts, PART):
+            s = Segments.cut(texts[a:b])
+            best, n, _ = self._segments(s)
+            fine = (best < k - 1) & (n >= LEAST_SEGMENT)
+            at = fine[s.of] if len(s.of) else np.zeros(0, bool)
+            out += np.bincount(s.gram[at] * (k - 1) + best[s.of[at]], minlength=out.size).reshape(out.shape) if at.any() else 0
+        return out
+
+    def refined(self, first: dict[str, np.ndarray], second: np.ndarray) -> Languages:
+        """The model of all segments as :meth:`relabelled` counted them."""
+        if not second.any():
+            return self
+        n = np.column_stack((second, first["grams"][:, -1]))
+        logs = _logs(n)
+        mean = (n * logs).sum(axis=0) / np.maximum(n.sum(axis=0), 1)
+        mean[-1] = 0
+        return Languages(self.names, logs, mean, self.floor.copy())
+
+    def deviations(self, texts: list[str]) -> np.ndarray:
+        """How many texts of each language deviate how far from its mean, by bins."""
+        out = np.zeros((len(self.names), BINS))
+        for a, b in chunks(texts, PART):
+            k, quality, n = self._texts(texts[a:b])
+            k, x = k[k >= 0], ((quality - self.mean[k]) * np.sqrt(n))[k >= 0]
+            out += np.bincount(k * BINS + np.clip(((x - LOWEST) / BIN).astype(np.int64), 0, BINS - 1), minlength=out.size).reshape(out.shape)
+        return out
+
+    def bounded(self, far: np.ndarray) -> Languages:
+        """With the floors that the counts of :meth:`deviations` tell."""
+        floor = self.floor.copy()
+        for i, n in enumerate(far[:-1]):
+            if self.mean[i] and n.any():
+                at = 0.0005 * (n.sum() - 1)
+                low, high = np.searchsorted(np.cumsum(n), (np.floor(at), min(np.floor(at) + 1, n.sum() - 1)), "right")
+                floor[i] = LOWEST + BIN * (low + 0.5 + (high - low) * (at - np.floor(at))) - APART
+        return Languages(self.names, self.logs, self.mean, floor)
 
     def _segments(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best class of every segment, its number of 4-grams, and their log under that class."""

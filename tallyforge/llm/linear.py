@@ -65,6 +65,9 @@ class Linear:
 
     weights: np.ndarray
     bias: np.ndarray
+    #: Summed squares of the gradients that each weight and bias was fitted by, where these are kept.
+    seen: np.ndarray | None = None
+    bias_seen: np.ndarray | None = None
 
     def margin(self, rows: Rows) -> np.ndarray:
         row = rows.row()
@@ -75,8 +78,8 @@ class Linear:
         return out
 
 
-def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7, among: np.ndarray | None = None) -> Linear:
-    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches; ``weight`` is one per row, or per row and label; ``among`` are the rows to fit on (all by default)."""
+def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 12, batch: int = 1024, rate: float = 0.08, l2: float = 1e-6, bits: int = BITS, seed: int = 7, among: np.ndarray | None = None, keep: bool = False) -> Linear:
+    """Logistic regression, one label per column of ``y``, by AdaGrad on shuffled batches; ``weight`` is one per row, or per row and label; ``among`` are the rows to fit on (all by default); ``keep`` keeps the squared gradients."""
     y = (y[:, None] if y.ndim == 1 else y).astype(float)
     labels = y.shape[1]
     weight = np.ones(len(rows)) if weight is None else weight
@@ -94,18 +97,21 @@ def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray | None = None, *,
             which = order[at : at + batch]
             own_rows = rows.take(which)
             index, row, value = own_rows.index, own_rows.row(), own_rows.value
-            used, back = np.unique(index, return_inverse=True)
+            # many features are counted over the whole table of weights, few are sorted
+            many = len(index) > 1 << (bits - 4)
+            used, back = (np.flatnonzero(np.bincount(index, minlength=1 << bits) > 0), None) if many else np.unique(index, return_inverse=True)
             for k in range(labels):
                 x = w[index, k] if value is None else w[index, k] * value
                 z = np.bincount(row, x, len(which)) + bias[k]
                 g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[which, k]) * weight[which, k]
-                own = np.bincount(back, g[row] if value is None else g[row] * value, len(used)) / len(which) + l2 * w[used, k]
+                slope = g[row] if value is None else g[row] * value
+                own = (np.bincount(index, slope, 1 << bits)[used] if many else np.bincount(back, slope, len(used))) / len(which) + l2 * w[used, k]
                 seen[used, k] += own**2
                 w[used, k] -= step * own / np.sqrt(seen[used, k])
                 total = g.mean()
                 bias_seen[k] += total**2
                 bias[k] -= step * total / np.sqrt(bias_seen[k])
-    return Linear(w, bias)
+    return Linear(w, bias, seen, bias_seen) if keep else Linear(w, bias)
 
 
 def threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:

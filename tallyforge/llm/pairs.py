@@ -2,17 +2,22 @@
 
 A multi-label linear classifier: hashed words and word pairs of every answer,
 features of its end and of what it holds, and features of the pair (shared
-five-word runs, natural and programming language). It is fitted on intact pairs and on copies of them with artificially truncated, copied,
-swapped, refused and emptied answers; thresholds are calibrated on held-back
-copies. Whole batches are hashed at once.
+five-word runs, natural and programming language). It is fitted on all intact
+pairs and on copies of them with artificially truncated, copied, swapped,
+refused and emptied answers: block by block, each pair in one block, and the
+weights of the blocks are averaged. Words, languages and lengths are counted in
+all pairs before, thresholds are calibrated on the margins that all pairs and
+copies have under a model that was not fitted on them. Whole batches are hashed
+at once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import cuts
-from tallyforge.llm.languages import Languages
+from tallyforge.llm import languages as spoken_languages
+from tallyforge.llm.languages import LABELS, Languages
 from tallyforge.llm.linear import BITS, Linear, Rows, fit_logistic, hashed, threshold
+from tallyforge.llm.sums import summed
 from tallyforge.llm.tokens import ANY_WORD, LOWER, U, chunks, mix, splitmix, words
+from tallyforge.runtime import bounded_rows
 
 DEFECTS = ["empty", "truncated", "refusal", "copy", "wrong_language"]
-#: Most pairs of each kind that the classifier is fitted on, and those of all that defective copies are made of.
-SAMPLE, MADE = 4000, 2400
-#: Pairs of these that the language model is fitted on.
-SPOKEN = 1600
+#: Pairs that are fitted together, a block, and characters of these at most; all pairs are in some block.
+BLOCK, BLOCK_SIZE = 8000, 1 << 26
+#: Pairs of which all copies are made; where there are more, each gives fewer of them in turn, one at least.
+MADE = 2400
+#: Answers to which the counts of words are scaled, so that they say the same of a corpus of any size.
+VALUES = 8000
+#: Bins of margins: the number and the width.
+BINS, BIN = 1 << 12, 1 / 64
 #: Defective pairs to an intact one for which the thresholds are calibrated.
 PRIOR = 0.04
 #: Margin, by defect, from which a given pair may have it and is no example of one without it.
@@ -208,11 +220,13 @@ class PairModel:
     paired: Linear
     levels: np.ndarray
     languages: Languages
-    known: dict[str, tuple[int, int]]
+    known: dict[str, tuple[float, float]]
     limits: frozenset[tuple[str, int]]
+    #: What one answer counts in ``known``.
+    share: float = 1.0
 
-    def describe(self, prompts: list[str | None], answers: list[str | None], families: list[str | None], sources: list[str | None], own: bool = False) -> Described:
-        """Features of pairs; prompts that are the same text are looked at once. ``own`` as in :func:`cuts.features`."""
+    def describe(self, prompts: list[str | None], answers: list[str | None], families: list[str | None], sources: list[str | None], own: list[bool] | None = None) -> Described:
+        """Features of pairs; prompts that are the same text are looked at once. ``own`` says which answers were counted in the vocabulary (none by default)."""
         number: dict[str, int] = {}
         of = np.array([number.setdefault(p or "", len(number)) for p in prompts], np.int64)
         texts = list(number)
@@ -238,7 +252,7 @@ class PairModel:
                 out.append(f"whole:{r.lower()}")
             end: list[str] = []
             if n_words[i]:
-                end, _ = cuts.features(a, cuts.near_limit(sources[i], len(a), self.limits), self.known, own)
+                end, _ = cuts.features(a, cuts.near_limit(sources[i], len(a), self.limits), self.known, self.share if own and own[i] else 0)
                 copied = bool(inside[i] > 0.8 and runs[i] > 3 and (not solved or inside[i] > 0.97))
                 out += [f"inside:{int(inside[i] * 10)}", f"inside>:{bool(inside[i] > 0.8)}:{solved}", f"covered:{int(covered[i] * 4)}", f"same:{r.split() == (prompts[i] or '').split()}", f"copy:{copied}", f"both:{int(inside[i] * 5)}:{int(covered[i] * 3)}"]
                 coded = f"{written[i] == f}" if solved and f else "none"
@@ -260,13 +274,13 @@ class PairModel:
 
     def described(self, rows: list[tuple], own: bool = False, step: int = 400) -> list[Described]:
         """Features of (prompt, answer, family, source) rows, a few at a time, so that little memory is needed."""
-        return [self.describe(*(list(c) for c in zip(*rows[i : i + step], strict=True)), own=own) for i in range(0, len(rows), step)]
+        return [self.describe(*(list(c) for c in zip(*rows[i : i + step], strict=True)), own=[own] * step) for i in range(0, len(rows), step)]
 
-    def defects(self, prompts: list[str | None], answers: list[str | None], families: list[str | None], sources: list[str | None]) -> np.ndarray:
+    def defects(self, prompts: list[str | None], answers: list[str | None], families: list[str | None], sources: list[str | None], own: list[bool] | None = None) -> np.ndarray:
         """Boolean matrix of rows and defects."""
         if not answers:
             return np.zeros((0, len(DEFECTS)), bool)
-        found = self.describe(prompts, answers, families, sources)
+        found = self.describe(prompts, answers, families, sources, own)
         out = self.margin(found.pair, found.signs, found.wording) >= self.levels
         # an empty answer and a refusal have no other defect
         out[out[:, 0], 1:] = False
@@ -335,52 +349,103 @@ def _emptied(rng: np.random.Generator, filler: str) -> str:
     return f"```\n{out}\n```" if rng.random() < 0.2 else out
 
 
+#: Kinds of copies that a pair may give: two cuts, a copied prompt, a refusal, nothing, and the answers of two other pairs.
+COPIES = 7
 #: Labels of made pairs: 1 has the defect, 0 has not, -1 is not known and takes no part.
 _MADE = {"truncated": [0, 1, 0, 0, 0], "copy": [0, 0, 0, 1, 0], "cut copy": [0, 1, 0, 1, 0], "refusal": [0, -1, 1, 0, -1], "empty": [1, -1, 0, 0, -1]}
 
 
-def fit(pairs: list[tuple[str | None, str | None, str | None, str | None]], limits: frozenset[tuple[str, int]] = frozenset(), *, most_made: int = MADE, rounds: int = 3, seed: int = 5) -> PairModel:
-    """Fit on (prompt, answer, family, source) rows that are mostly intact.
+#: Arrays that the fit of a block gives, which are added up over the blocks: squared gradients and weights times these, by group; margins of pairs that have a defect and of those that have not.
+_GROUPS = {"worded": WORDED, "signed": SIGNED, "paired": PAIRED}
+SHAPES = {**{f"{g} {x}": ((1 << BITS) + 1, len(k)) for g, k in _GROUPS.items() for x in ("seen", "weights")}, "margins": (len(DEFECTS), 2, BINS)}
+
+
+def usable(pair: tuple) -> bool:
+    """Whether a pair can be fitted on: it has a prompt, and an answer that holds something."""
+    return bool(pair[0] and essence(pair[1]))
+
+
+def prose_and_code(answers: list[str]) -> tuple[list[str], list[str]]:
+    """What the language model is fitted on."""
+    parts = [split(a) for a in answers]
+    return [_QUOTED.sub(" ", p) for _, p in parts], [c for c, _ in parts]
+
 
-    Defective copies are made of ``most_made`` of them. What one round finds
-    defective among the given ones is left out of the next, for that defect
-    only. The thresholds are calibrated on rows that another half was fitted
-    on, weighted so that each defect is met PRIOR times as often as none.
+def blank(languages: Languages, known: dict[str, tuple[float, float]], limits: frozenset[tuple[str, int]], share: float = 1.0) -> PairModel:
+    """A model that has no weights yet."""
+    nothing = lambda n: Linear(np.zeros((1 << BITS, n), np.float32), np.full(n, -1.0))
+    return PairModel(nothing(len(WORDED)), nothing(len(SIGNED)), nothing(len(PAIRED)), np.zeros(len(DEFECTS)), languages, known, limits, share)
+
+
+def fit(pairs: list[tuple[str | None, str | None, str | None, str | None]], limits: frozenset[tuple[str, int]] = frozenset(), *, most_made: int = MADE, rounds: int = 3, seed: int = 5) -> PairModel:
+    """Fit on all of the (prompt, answer, family, source) rows at hand, as one block."""
+    pairs = [p for p in pairs if usable(p)]
+    proses, codes = prose_and_code([p[1] for p in pairs])
+    shell = blank(Languages.fit([*dict.fromkeys(p[0] for p in pairs), *proses], codes), cuts.vocabulary([p[1] for p in pairs]), limits)
+    return averaged(shell, fit_block(shell, pairs, len(pairs), most_made=most_made, rounds=rounds, seed=seed)) if pairs else shell
+
+
+def averaged(shell: PairModel, sums: dict[str, np.ndarray]) -> PairModel:
+    """The model whose weights are the mean of those of the blocks, each counting by its squared gradients, so that a block that never met a feature has no say about it; thresholds by the margins of all."""
+    out = {}
+    for group, labels in _GROUPS.items():
+        seen = sums[f"{group} seen"]
+        mean = sums[f"{group} weights"] / np.where(seen > 0, seen, 1)
+        out[group] = Linear(mean[:-1].astype(np.float32), np.where(seen[-1] > 0, mean[-1], -1.0))
+    levels, middle = np.zeros(len(DEFECTS)), (np.arange(BINS) - BINS / 2 + 0.5) * BIN
+    for k, (has, has_not) in enumerate(sums["margins"]):
+        if has.any():
+            weight = np.concatenate((has * PRIOR * max(1, has_not.sum()) / has.sum(), has_not))
+            met = weight > 0
+            levels[k] = threshold(np.tile(middle, 2)[met], np.repeat([1, 0], BINS)[met], weight[met])
+    return PairModel(**out, levels=levels, languages=shell.languages, known=shell.known, limits=shell.limits, share=shell.share)
+
+
+def fit_block(shell: PairModel, pairs: list[tuple[str, str, str | None, str | None]], total: int, *, most_made: int = MADE, rounds: int = 3, seed: int | tuple[int, ...] = 5) -> dict[str, np.ndarray]:
+    """Fit on a block of usable rows that are mostly intact; the arrays of SHAPES.
+
+    Every row takes part as it is and gives defective copies: all of them
+    while ``total``, the rows of all blocks, is not above ``most_made``, else
+    fewer in turn, one at least. What one round finds defective among the given
+    rows is left out of the next, for that defect only. Margins for the
+    thresholds are those of rows under a model of the other half. Where there
+    are several blocks, their weights are those of the halves, every row gives
+    a refusal besides and every other one an empty answer, and fewer epochs do.
     """
     rng = np.random.default_rng(seed)
-    pairs = [p for p in pairs if p[0] and essence(p[1])]
     parts = [split(p[1]) for p in pairs]
-    some = rng.permutation(len(pairs))[:SPOKEN].tolist()
-    languages = Languages.fit([pairs[i][0] for i in some] + [_QUOTED.sub(" ", parts[i][1]) for i in some], [parts[i][0] for i in some[: SPOKEN // 4]])
-    nothing = lambda n: Linear(np.zeros((1 << BITS, n), np.float32), np.full(n, -1.0))
-    shell = PairModel(nothing(len(WORDED)), nothing(len(SIGNED)), nothing(len(PAIRED)), np.zeros(len(DEFECTS)), languages, cuts.vocabulary([p[1] for p in pairs]), limits)
-    if not pairs:
-        return shell
     parts_base = shell.described(pairs, own=True)
     natural, want, family_asked, written = ([x for p in parts_base for x in getattr(p, name)] for name in ("natural", "want", "family", "written"))
     names = [(re.findall(r"\b[a-z]+_[a-z]+_?\w*", p[0]) or ["it"])[0] for p in pairs]
     made, label, of, shown = [], [], [], []
-    at_limit = {k: n for k, n in limits}
-    chosen = np.sort(rng.permutation(len(pairs))[:most_made]).tolist()
-    for i in chosen:
+    at_limit = dict(shell.limits)
+    several = total > len(pairs)
+    copies = min(COPIES, max(1.0, COPIES * most_made / max(1, total)))
+    turn = rng.permutation(len(pairs)).tolist()
+    for i in range(len(pairs)):
+        due = {(turn[i] + t) % COPIES for t in range(int(copies) + (rng.random() < copies % 1))}
         prompt, answer, family, source = pairs[i]
         j = int(rng.integers(len(pairs)))
         filler = re.split(r"(?<=[.\u3002])\s", parts[j][1].strip())[0][:200]
         new: list[tuple[str, int, list[int]]] = []  # an answer, the pair it was made from or -1, its labels
-        for _ in range(2):
+        for _ in due & {0, 3}:
             short = cuts.cut(answer, rng)
             # some made cuts end at a limit of their source
             if short:
                 n = at_limit.get(source)
                 short = short[:n] if n and len(short) > n else short
                 new.append((short, i, _MADE["truncated" if essence(short) else "empty"]))
-        copy = _copied(rng, prompt)
-        ended = cuts.cut(copy, rng, trace=False) if rng.random() < 0.3 else None
-        new.append((ended or copy, -1, _MADE["cut copy" if ended else "copy"]))
-        new.append((_refusal(rng, names[i], filler), -1, _MADE["refusal"]))
-        new.append((_emptied(rng, filler), -1, _MADE["empty"]))
+        if 1 in due:
+            copy = _copied(rng, prompt)
+            ended = cuts.cut(copy, rng, trace=False) if rng.random() < 0.3 else None
+            new.append((ended or copy, -1, _MADE["cut copy" if ended else "copy"]))
+        # these are short, so every pair gives them
+        if 4 in due or several:
+            new.append((_refusal(rng, names[i], filler), -1, _MADE["refusal"]))
+        if 6 in due or several and turn[i] % 2:
+            new.append((_emptied(rng, filler), -1, _MADE["empty"]))
         # the answer of another pair, once in a language that is asked for here and once in one that is not, so that it is the pair that tells
-        for wrong in (False, True):
+        for wrong in [w for w, place in ((False, 2), (True, 5)) if place in due]:
             j = next((int(j) for j in rng.integers(len(pairs), size=40) if bool(want[i] and natural[j] and natural[j] != want[i] or family_asked[i] and written[j] and written[j] != family_asked[i]) == wrong and (natural[j] or written[j])), None)
             if j is not None:
                 new.append((pairs[j][1], j, [0, -1, 0, 0, int(wrong)]))
@@ -389,14 +454,14 @@ def fit(pairs: list[tuple[str | None, str | None, str | None, str | None]], limi
             label.append(y)
             of.append(i)
             shown.append(j)
-    of, label, shown = np.array(of), np.array(label), np.array(shown)
+    of, label, shown = np.array(of, np.int64), np.array(label, np.int64).reshape(-1, len(DEFECTS)), np.array(shown, np.int64)
     every = parts_base + shell.described(made)
     pair, signs, wording = (Rows.joined([getattr(p, name) for p in every]) for name in ("pair", "signs", "wording"))
     del every, parts_base
     origin = np.concatenate((np.arange(len(pairs)), of))
     # what the given pairs may have unseen is not known of them, nor of what is made of their answers
     doubt = np.zeros((len(pairs), len(DEFECTS)), bool)
-    doubt[:, 1] = [(p[3], len(p[1])) in limits for p in pairs]
+    doubt[:, 1] = [(p[3], len(p[1])) in shell.limits for p in pairs]
 
     def targets() -> np.ndarray:
         own = np.where(doubt, -1, 0)
@@ -405,8 +470,8 @@ def fit(pairs: list[tuple[str | None, str | None, str | None, str | None]], limi
 
     def fitted(target: np.ndarray, which: np.ndarray, epochs: int) -> PairModel:
         y, known = np.maximum(target, 0), (target >= 0).astype(float)
-        one = lambda rows, labels: fit_logistic(rows, y[:, labels], known[:, labels], epochs=epochs, among=which)
-        return PairModel(one(wording, WORDED), one(signs, SIGNED), one(pair, PAIRED), shell.levels.copy(), languages, shell.known, limits)
+        one = lambda rows, labels: fit_logistic(rows, y[:, labels], known[:, labels], epochs=epochs, among=which, keep=True)
+        return PairModel(one(wording, WORDED), one(signs, SIGNED), one(pair, PAIRED), shell.levels, shell.languages, shell.known, shell.limits)
 
     margin = lambda model, which: np.concatenate([np.zeros((0, len(DEFECTS))), *(model.margin(pair.take(own), signs.take(own), wording.take(own)) for own in np.array_split(which, 1 + len(which) // 1000))])
     # each half is judged by the other, so that no defective row is learnt as an intact one and then kept; rare endings must
@@ -415,22 +480,30 @@ def fit(pairs: list[tuple[str | None, str | None, str | None, str | None]], limi
     for _ in range(rounds - 1):
         found = np.zeros_like(doubt)
         for side in (False, True):
-            judge = fitted(targets(), np.flatnonzero((half == side)[origin]), 3)
+            judge = fitted(targets(), np.flatnonzero((half == side)[origin]), 2 if several else 3)
             own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
             found[other] |= (margin(judge, other) >= DOUBT) & (np.arange(len(DEFECTS)) != 1)
             found[own, 1] = margin(judge, own)[:, 1] >= DOUBT[1]
         doubt |= found
-    target, z = targets(), np.empty((len(origin), len(DEFECTS)))
+    target, z, models = targets(), np.empty((len(origin), len(DEFECTS))), []
     for side in (False, True):
         test = np.flatnonzero((half != side)[origin])
-        z[test] = margin(fitted(target, np.flatnonzero((half == side)[origin]), 8), test)
-    model, y = fitted(target, np.arange(len(origin)), 8), target
+        models.append(fitted(target, np.flatnonzero((half == side)[origin]), 5 if several else 8))
+        z[test] = margin(models[-1], test)
+    if not several:
+        models = [fitted(target, np.arange(len(origin)), 8)]
+    out = {name: np.zeros(shape) for name, shape in SHAPES.items()}
+    for m in models:
+        for group in _GROUPS:
+            one = getattr(m, group)
+            seen = np.vstack((one.seen, one.bias_seen)) * (np.vstack((one.weights, one.bias)) != 0)
+            out[f"{group} seen"] += seen
+            out[f"{group} weights"] += seen * np.vstack((one.weights, one.bias))
+    place = np.clip((z / BIN + BINS / 2).astype(np.int64), 0, BINS - 1)
     for k in range(len(DEFECTS)):
-        judged = y[:, k] >= 0
-        hit = y[judged, k] > 0
-        if hit.any():
-            model.levels[k] = threshold(z[judged, k], hit, np.where(hit, PRIOR * max(1, (~hit).sum()) / hit.sum(), 1.0))
-    return model
+        for side, value in enumerate((1, 0)):
+            out["margins"][k, side] = np.bincount(place[target[:, k] == value, k], minlength=BINS)
+    return out
 
 
 def sampled(df: DataFrame, intact: str, total: int, n: int) -> DataFrame:
@@ -439,45 +512,147 @@ def sampled(df: DataFrame, intact: str, total: int, n: int) -> DataFrame:
     return df.where(intact).where("length(trim(answer)) > 0").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share)
 
 
-def defective_pairs(prompts: DataFrame, kinds: dict[str, tuple[DataFrame, str, bool]], *, sample: int = SAMPLE) -> DataFrame:
+def counted_words(answers: DataFrame) -> DataFrame:
+    """(word, n, closes): how often every word is seen in the column ``answer``, and how often it closes a sentence or a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = cuts.counted_words(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([n for _, n in found.values()], pa.int64())], names=["word", "n", "closes"])
+
+    return answers.select("answer").mapInArrow(run, "word string, n long, closes long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("closes").alias("closes"))
+
+
+def fit_languages(prompts: DataFrame, answers: DataFrame) -> Languages:
+    """The language model of all prompts and of the prose and code of all answers."""
+    texts = prompts.where("length(trim(prompt)) > 0").select(F.lit(False).alias("answered"), F.col("prompt").alias("text")).unionAll(answers.select(F.lit(True), "answer"))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+        for b in batches:
+            answered, text = (c.to_pylist() for c in b.columns)
+            for lo, hi in chunks(text):
+                part = list(zip(answered[lo:hi], text[lo:hi], strict=True))
+                proses, codes = prose_and_code([t for x, t in part if x])
+                yield [t for x, t in part if not x] + proses, codes
+
+    def over(one: Callable[[list[str], list[str]], dict[str, np.ndarray]], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+        def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+            total = {name: np.zeros(shape) for name, shape in shapes.items()}
+            for proses, codes in parted(batches):
+                for name, found in one(proses, codes).items():
+                    total[name] += found
+            return total
+
+        return summed(texts, work, shapes)
+
+    grams = 1 << spoken_languages.BITS
+    first = over(spoken_languages.seeded, {"grams": (grams, len(LABELS) + 1), "segments": (len(LABELS) + 1,)})
+    model = Languages.started(first)
+    if len(model.names) == 1:
+        return model
+    send = prompts.sparkSession.sparkContext.broadcast
+    shared = send(model)
+    second = over(lambda proses, _: {"grams": shared.value.relabelled(proses)}, {"grams": (grams, len(model.names) - 1)})["grams"]
+    model = model.refined(first, second)
+    fine = send(model)
+    return model.bounded(over(lambda proses, _: {"far": fine.value.deviations(proses)}, {"far": (len(model.names), spoken_languages.BINS)})["far"])
+
+
+def fit_pairs(prompts: DataFrame, answers: DataFrame, limits: frozenset[tuple[str, int]], total: int, block: int = BLOCK) -> PairModel:
+    """Fit on all (kind, key, prompt_key, answer, source) rows of ``answers``, ``total`` in number, with their prompts.
+
+    A prompt and its answers are in one block by a hash of the key, so a
+    block is the same whatever the partitioning. A block that got too large, for
+    one prompt has many answers or texts are long, is fitted in parts.
+    """
+    spark = prompts.sparkSession
+    words = counted_words(answers)
+    share = min(1.0, VALUES / max(1, total))
+    frequent = bounded_rows(words.where((F.col("n") > 1) & (F.col("n") * share >= 1)), 4_000_000, "the words met once in VALUES answers")
+    shell = blank(fit_languages(prompts, answers), {r.word: (r.n * share, r.closes * share) for r in frequent}, limits, share)
+    if not total:
+        return shell
+    blocks = -(-total // block)
+    shared = spark.sparkContext.broadcast(shell)
+    number = F.pmod(F.xxhash64("prompt_key"), F.lit(blocks)).cast("int").alias("block")
+    asks = prompts.where("length(prompt) > 0").select(number, "prompt_key", F.lit(0).alias("answered"), F.lit("").alias("kind"), F.lit(None).cast("long").alias("key"), F.col("prompt").alias("text"), F.col("family").alias("word"))
+    given = answers.withColumn("prompt_key", F.col("prompt_key").cast(prompts.schema["prompt_key"].dataType)).select(number, "prompt_key", F.lit(1), "kind", "key", "answer", "source")
+    rows = asks.unionAll(given).repartitionById(blocks, "block").sortWithinPartitions("block", "prompt_key", "answered", "kind", "key", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total_of = {name: np.zeros(shape) for name, shape in SHAPES.items()}
+        shell = shared.value
+        held: list[tuple] = []
+        size, part, now = 0, 0, None
+
+        def fitted(pairs: list[tuple]) -> None:
+            for name, found in fit_block(shell, pairs, total if blocks > 1 or part else len(pairs), seed=(5, now, part)).items():
+                total_of[name] += found
+
+        last = prompt = family = None
+        for at, key, answered, kind, text, word in chain.from_iterable(zip(*(b.column(x).to_pylist() for x in ("block", "prompt_key", "answered", "kind", "text", "word")), strict=True) for b in batches):
+            if at != now:
+                if held:
+                    fitted(held)
+                held, size, part, now = [], 0, 0, at
+            if not answered:
+                last, prompt, family = key, text, word
+            elif key is not None and key == last:
+                pair = (prompt, text, family, f"{kind}|{word or ''}")
+                if usable(pair):
+                    held.append(pair)
+                    size += len(text) + len(prompt)
+                # the rest is at least as large as what is fitted, so that no part is a small one
+                if len(held) >= 2 * block or size >= 2 * BLOCK_SIZE:
+                    part += 1
+                    n = len(held) // 2
+                    fitted(held[:n])
+                    held, size = held[n:], sum(len(p[0]) + len(p[1]) for p in held[n:])
+        if held:
+            fitted(held)
+        return total_of
+
+    return averaged(shell, summed(rows, work, SHAPES))
+
+
+def defective_pairs(prompts: DataFrame, kinds: dict[str, tuple[DataFrame, str, bool]], *, sample: int | None = None, block: int = BLOCK) -> DataFrame:
     """(pair_kind, pair_key, defect) for every defective pair.
 
     ``prompts`` has columns prompt_key (unique), prompt and family, the
     programming language asked for, or null to read it from the prompt.
     ``kinds`` maps a kind to a table with columns key, prompt_key, answer and
     source, a condition that most intact pairs meet, and whether sources have
-    length limits. Fitted on about ``sample`` pairs of each kind. A null or
+    length limits. Fitted on all pairs that meet the condition, in blocks of
+    ``block``; on about ``sample`` of each kind only where that is given. A null or
     blank answer is empty; a null or missing prompt leaves only what the
     answer alone tells; repeated rows are judged each; texts are read whole;
     other columns are ignored; an empty table gives an empty result.
     """
     asks = prompts.select("prompt_key", "prompt", "family")
     limits: set[tuple[str, int]] = set()
-    chosen: list[tuple] = []
+    given: list[DataFrame] = []
+    every = 0
     for kind, (df, intact, limited) in kinds.items():
         source = F.col("source") if limited else F.lit(None).cast("string")
         lengths = cuts.value_lengths(df.where("length(trim(answer)) > 0").select(F.lit(kind).alias("field"), source.alias("source"), F.col("answer").alias("value"), F.expr(intact).alias("_intact")), "_intact")
         if limited:
             limits |= cuts.length_limits(lengths)
         total = lengths.agg(F.coalesce(F.sum("intact"), F.lit(0))).first()[0]
-        # a key of many rows has one hash, so the number of rows is bounded as well
-        rows = sampled(df, intact, total, sample).select("key", "prompt_key", "answer", source.alias("source")).orderBy(F.xxhash64("key"), "key").limit(2 * sample + 1000).collect()
-        wanted = df.sparkSession.createDataFrame([(r.prompt_key,) for r in rows], f"prompt_key {dict(asks.dtypes)['prompt_key']}").distinct()
-        texts = {r.prompt_key: r for r in asks.join(F.broadcast(wanted), "prompt_key", "left_semi").collect()}
-        rows.sort(key=lambda r: (str(r.key), r.answer))
-        chosen += [(texts[r.prompt_key].prompt, r.answer, texts[r.prompt_key].family, f"{kind}|{r.source or ''}") for r in rows if r.prompt_key in texts]
-    shared = prompts.sparkSession.sparkContext.broadcast(fit(chosen, frozenset(limits)))
+        rows = df.where(intact).where("length(trim(answer)) > 0") if sample is None else sampled(df, intact, total, sample).orderBy(F.xxhash64("key"), "key").limit(2 * sample + 1000)
+        every += total if sample is None else min(total, sample)
+        given.append(rows.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "prompt_key", "answer", source.alias("source")))
+    shared = prompts.sparkSession.sparkContext.broadcast(fit_pairs(asks, reduce(DataFrame.unionByName, given), frozenset(limits), every, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            kind, key, answer, source, prompt, family = (c.to_pylist() for c in b.columns)
+            kind, key, answer, source, own_word, prompt, family = (c.to_pylist() for c in b.columns)
             for lo, hi in chunks([(x or "") + (y or "") for x, y in zip(answer, prompt, strict=True)]):
                 own = slice(lo, hi)
-                found = m.defects(prompt[own], answer[own], family[own], [f"{k}|{s or ''}" for k, s in zip(kind[own], source[own], strict=True)])
+                found = m.defects(prompt[own], answer[own], family[own], [f"{k}|{s or ''}" for k, s in zip(kind[own], source[own], strict=True)], own_word[own])
                 row, label = np.nonzero(found)
                 yield pa.RecordBatch.from_arrays([pa.array([kind[lo + i] for i in row.tolist()], pa.string()), pa.array([key[lo + i] for i in row.tolist()], pa.int64()), pa.array([DEFECTS[j] for j in label.tolist()], pa.string())], names=["pair_kind", "pair_key", "defect"])
 
-    parts = [df.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "prompt_key", "answer", (F.col("source") if limited else F.lit(None).cast("string")).alias("source")) for kind, (df, _, limited) in kinds.items()]
-    paired = reduce(DataFrame.unionByName, parts).join(asks, "prompt_key", "left").select("kind", "key", "answer", "source", "prompt", "family")
+    parts = [df.select(F.lit(kind).alias("kind"), F.col("key").cast("long").alias("key"), "prompt_key", "answer", (F.col("source") if limited else F.lit(None).cast("string")).alias("source"), (F.lit(sample is None) & F.coalesce(F.expr(intact), F.lit(False))).alias("counted")) for kind, (df, intact, limited) in kinds.items()]
+    paired = reduce(DataFrame.unionByName, parts).join(asks, "prompt_key", "left").select("kind", "key", "answer", "source", "counted", "prompt", "family")
     return paired.mapInArrow(run, "pair_kind string, pair_key long, defect string")

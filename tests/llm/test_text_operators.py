@@ -226,6 +226,51 @@ def test_pairs_edges(spark):
     assert pairs.defective_pairs(prompts.limit(0), {"k": (odd.limit(0), "true", False)}).collect() == []
 
 
+def test_pair_model_is_fitted_on_all_pairs(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.01/expanded.parquet").where("length(expanded_prompt) > 0 and length(reference_solution) > 0").orderBy("record_no").limit(400)
+    prompts = e.select(F.col("record_no").alias("prompt_key"), F.col("expanded_prompt").alias("prompt"), F.lit("verilog").alias("family"))
+    answers = e.select(F.lit("k").alias("kind"), F.col("record_no").alias("key"), F.col("record_no").alias("prompt_key"), F.col("reference_solution").alias("answer"), F.lit(None).cast("string").alias("source"))
+    rows = [(r.expanded_prompt, r.reference_solution, "verilog", "k|") for r in e.collect()]
+    found = []
+    monkeypatch.setattr(pairs, "averaged", lambda shell, sums, f=pairs.averaged: found.append((shell, sums)) or f(shell, sums))
+    models = [pairs.fit_pairs(prompts.repartition(n), answers.repartition(n), frozenset(), len(rows), block=150) for n in (1, 6)]
+    # counts are those of all rows, and the languages those of one fit on all
+    shell, sums = found[0]
+    assert shell.known == cuts.vocabulary([r[1] for r in rows])
+    usable = [r for r in rows if pairs.usable(r)]
+    proses, codes = pairs.prose_and_code([r[1] for r in rows])
+    whole = languages.Languages.fit([r[0] for r in rows] + proses, codes)
+    assert whole.names == shell.languages.names and np.allclose(whole.logs, shell.languages.logs) and np.allclose(whole.floor, shell.languages.floor)
+    # every pair and its copies have a margin for the label that is known of all of them, but for those in doubt
+    assert sums["margins"][3, 1].sum() >= 0.9 * 5 * len(usable) and sums["margins"][3, 0].sum() == len(usable)
+    # the blocks do not depend on the partitioning
+    assert np.allclose(models[0].worded.weights, models[1].worded.weights, atol=1e-5) and np.allclose(models[0].signed.weights, models[1].signed.weights, atol=1e-5) and np.allclose(models[0].levels, models[1].levels)
+
+
+def test_pair_model_counts_more_pairs_than_a_block_holds(spark, monkeypatch):
+    n = 9000
+    df = spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("prompt_key"), F.format_string("The unit reads word %s and writes it.", F.col("id") % 900).alias("answer"), F.lit(None).cast("string").alias("source"))
+    prompts = spark.range(n).select(F.col("id").alias("prompt_key"), F.format_string("Explain in a few words what unit %s does.", "id").alias("prompt"), F.lit(None).cast("string").alias("family"))
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, f=type(spark.sparkContext).broadcast: sent.append(value) or f(self, value))
+    pairs.defective_pairs(prompts, {"k": (df, "true", False)})
+    model = [x for x in sent if isinstance(x, pairs.PairModel)][-1]
+    # a word of every answer is met in every one of them; the counts are those of 8 000 answers
+    assert round(model.known["unit"][0] / model.share) == n and round(model.known["it"][1] / model.share) == n
+
+
+def test_fits_of_blocks_are_averaged_by_what_they_met():
+    shell = pairs.blank(languages.Languages.fit([], []), {}, frozenset())
+    sums = {name: np.zeros(shape) for name, shape in pairs.SHAPES.items()}
+    for weight, seen in ((2.0, 3.0), (-1.0, 1.0)):
+        sums["paired seen"][7, 0] += seen
+        sums["paired weights"][7, 0] += seen * weight
+    sums["margins"][3, 0, [3000, 3100]], sums["margins"][3, 1, [900, 1000]] = 5, 80
+    model = pairs.averaged(shell, sums)
+    assert model.paired.weights[7, 0] == 1.25 and model.paired.weights[8, 0] == 0
+    assert (1000 - 2048) / 64 < model.levels[3] < (3000 - 2048) / 64
+
+
 def brute(rows, t, k=3, least=30):
     sets = {}
     for i, (key, x) in enumerate(rows):
