@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linear import Linear, Rows, fit_logistic, hashed, threshold
-from tallyforge.llm.tokens import chunks
+from tallyforge.llm.tokens import LOWER, chunks, hashes
 from tallyforge.runtime import bounded_rows, checkpointed
 
 #: Most values of each field that the model is fitted on.
@@ -37,9 +38,10 @@ _TRACE = re.compile(r"�+$|(?:\.\.\.|…)[ ]?(?:[\[(<{][^\])>}\n]{0,40}[\])>}])
 _TOKEN = re.compile(r"\n+|\d+'[sS]?[hHdDbBoO]?\w*|[^\W\d_]\w*'?[^\W\d_]*|_\w*|\d[\w.]*|[^\w\s]")
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'(?![hdbo])", re.S)
 _CODE_START = re.compile(r"\s*(?:`timescale|module\b|import\b|from\b|library\b|entity\b|architecture\b|def\b|class\b|@\w|//|/\*|#|package\b|interface\b|\"\"\")")
-_BLOCK = re.compile(r"\b(module|endmodule|begin|end|case|endcase|function|endfunction|task|endtask|entity|architecture|process|generate|endgenerate)\b")
-_OPENS = {"module": "module", "begin": "begin", "case": "case", "function": "function", "task": "task", "generate": "generate"}
-_CLOSES = {"endmodule": "module", "end": "begin", "endcase": "case", "endfunction": "function", "endtask": "task", "endgenerate": "generate"}
+_NAME = re.compile(r"\w+")
+_NAMES = bytes(c if chr(c).isalnum() and c < 128 or c == 95 else 32 for c in range(256))
+#: What opens a block, and what closes it.
+_BLOCKS = {"module": "endmodule", "begin": "end", "case": "endcase", "function": "endfunction", "task": "endtask", "generate": "endgenerate"}
 _STOPS, _CLOSING = (". ", ".\n", "! ", "!\n", "? ", "?\n", ": ", ":\n", "\n\n", "。", "！", "？"), tuple(".!?:。！？")
 
 
@@ -67,28 +69,29 @@ def _word(t: str) -> str:
     return t.lower()
 
 
+def _first_words(t: str, n: int) -> list[str]:
+    return [_word(m[0]) for m in islice(_TOKEN.finditer(t), n)]
+
+
 def _code_state(code: str) -> list[str]:
     """What is open at the end of source code: brackets, blocks, comments, statements."""
     bare = _COMMENT.sub(" ", code)
     out = []
     for a, b in ("()", "[]", "{}"):
-        out.append(f"c:{a}{np.sign(bare.count(a) - bare.count(b))}")
-    depth = dict.fromkeys(_OPENS.values(), 0)
-    for m in _BLOCK.finditer(bare):
-        w = m[1]
-        if w in _OPENS:
-            depth[_OPENS[w]] += 1
-        elif w in _CLOSES:
-            depth[_CLOSES[w]] -= 1
-    verilog = "module" in bare or "endmodule" in bare
+        n = bare.count(a) - bare.count(b)
+        out.append(f"c:{a}{(n > 0) - (n < 0)}")
+    verilog = "module" in bare
     if verilog:
-        out += [f"c:{k}{np.sign(v)}" for k, v in depth.items()]
+        names = bare.encode().translate(_NAMES).split() if bare.isascii() else [x.encode() for x in _NAME.findall(bare)]
+        for k, end in _BLOCKS.items():
+            n = names.count(k.encode()) - names.count(end.encode()) if k in bare or end in bare else 0
+            out.append(f"c:{k}{(n > 0) - (n < 0)}")
     out.append(f"c:comment{'/*' in bare or (chr(34) * 3) in bare}")
     lines = [x for x in bare.splitlines() if x.strip()]
     if lines:
         last = lines[-1]
         indent = len(last) - len(last.lstrip())
-        shape = " ".join(_word(t) for t in _TOKEN.findall(last)[:3])
+        shape = " ".join(_first_words(last, 3))
         out += [f"c:indent{min(indent, 12)}:{verilog}", f"c:line:{shape}", f"c:end:{verilog}:{last.rstrip()[-1]}"]
         if not verilog:
             block = next((x.split()[0] for x in reversed(lines) if x[0] not in " \t)#"), "")
@@ -114,14 +117,56 @@ def vocabulary(values: list[str]) -> dict[str, tuple[int, int]]:
 def counted_words(values: list[str]) -> dict[str, list[int]]:
     """The counts of :func:`vocabulary` for all words of a batch, those seen once included."""
     out: dict[str, list[int]] = {}
-    for a, b in chunks(values, 1 << 18):
-        for (w, end), n in Counter(_PROSE.findall("\n".join(values[a:b]).lower() + "\n")).items():
+    plain = [v for v in values if v.isascii()]
+    for a, b in chunks(plain, 1 << 17):
+        for w, n, closes in _counted_plain("\n".join(plain[a:b]).encode().translate(LOWER) + b"\n"):
+            both = out.setdefault(w, [0, 0])
+            both[0] += n
+            both[1] += closes
+    other = [v for v in values if not v.isascii()]
+    for a, b in chunks(other, 1 << 18):
+        for (w, end), n in Counter(_PROSE.findall("\n".join(other[a:b]).lower() + "\n")).items():
             both = out.setdefault(w, [0, 0])
             both[0] += n
             both[1] += n if end else 0
     return out
 
 
+def _bytes(signs: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(signs.encode())] = True
+    return out
+
+
+#: Classes of bytes in _PROSE.
+_LETTER, _JOINS, _BEHIND, _ENDS, _BLANK, _SPACE = map(_bytes, ("abcdefghijklmnopqrstuvwxyz", "'-", "\"')*`]", ".!?:;", " \t", "\t\n\v\f\r\x1c\x1d\x1e\x1f "))
+
+
+def _counted_plain(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(word, n, closes) as _PROSE finds them in lower-case ASCII text that ends with a line end, without an object for every word."""
+    b = np.frombuffer(raw, np.uint8)
+    letter = _LETTER[b]
+    # a single sign between two letters joins them
+    inside = letter.copy()
+    inside[1:-1] |= _JOINS[b[1:-1]] & letter[:-2] & letter[2:]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[0::2], edge[1::2]
+    if not len(start):
+        return
+    beyond = lambda signs, at: (rest := np.flatnonzero(~signs[b]))[np.searchsorted(rest, at)]
+    stop = beyond(_BEHIND, end)
+    past = beyond(_ENDS, stop)
+    closes = (past > stop) & _SPACE[b[past]] | (b[beyond(_BLANK, end)] == 10)
+    h = hashes(b, start, end)
+    by = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+    n, closed = np.diff(np.append(first, len(by))), np.add.reduceat(closes[by].astype(np.int64), first)
+    for a, z, k, c in zip(start[by[first]].tolist(), end[by[first]].tolist(), n.tolist(), closed.tolist(), strict=True):
+        yield raw[a:z].decode(), k, c
+
+
 def near_limit(source: str | None, n: int, limits: frozenset[tuple[str, int]]) -> str:
     """Distance of a length to the next limit of its source: 0 at it, else the bits of what is missing, no for none near."""
     if not limits or (source, n) in limits:
@@ -129,22 +174,23 @@ def near_limit(source: str | None, n: int, limits: frozenset[tuple[str, int]]) -
     return next((f"-{k.bit_length()}" for k in range(1, 9) if (source, n + k) in limits), "no")
 
 
-def features(value: str, limit: str = "no", known: dict[str, tuple[float, float]] | None = None, own: float = 0) -> tuple[list[str], bool]:
+def features(value: str, limit: str = "no", known: dict[str, tuple[float, float]] | None = None, own: float = 0, only_inside: bool = False) -> tuple[list[str], bool]:
     """Feature strings of the end of a value, and whether it ends inside a fence, tag or code block.
 
     ``known`` is the vocabulary; ``own`` is what the value itself counts in it,
-    so that its last word is taken out again.
+    so that its last word is taken out again. ``only_inside`` leaves the features out.
     """
     t = value.rstrip().rstrip(_INVISIBLE).rstrip()
     out = [f"limit:{limit}", f"size:{min(9, len(t).bit_length())}"]
     if len(t) < 24:
         out.append(f"whole:{t}")
-    trace = _TRACE.search(t)
+    # a trace is short but for its marks of bytes that are no character
+    trace = _TRACE.search(t, max(0, min(len(t) - 64, len(t.rstrip("\ufffd")))))
     if trace:
         out.append("trace:" + re.sub(r"\d+", "N", trace[0])[:24])
         out.append("trace")
         t = t[: trace.start()].rstrip()
-    fences = [m.start() for m in _FENCE.finditer(t)]
+    fences = [m.start() for m in _FENCE.finditer(t)] if "```" in t or "~~~" in t else []
     tags = []
     for m in _TAG.finditer(t):
         if m[1]:
@@ -165,6 +211,8 @@ def features(value: str, limit: str = "no", known: dict[str, tuple[float, float]
         state = _code_state(code)
         out += state
         inside = inside or any(x.endswith(")1") or x.endswith("1") and x.startswith(("c:(", "c:[", "c:{", "c:module", "c:begin", "c:case")) or x == "c:commentTrue" for x in state)
+    if only_inside:
+        return [], inside
     # six tokens are rarely longer than this; of longer ones fewer are compared
     tokens = [_word(x) for x in _TOKEN.findall(t[-160:])][-6:]
     raw_last = t[-80:].split()[-1] if tokens else ""
@@ -181,16 +229,24 @@ def features(value: str, limit: str = "no", known: dict[str, tuple[float, float]
             out.append(f"known:{min(5, int(n).bit_length())}:{-1 if n < 4 else min(4, int(16 * closes / n))}:{raw_last.isascii()}")
     if code is None:
         stopped = t[-1:] in _CLOSING
-        sentence = t[max(t.rfind(x, 0, len(t) - 1) + len(x) if x in t else 0 for x in _STOPS) :]
-        first = [_word(x) for x in _TOKEN.findall(sentence[:80])[:2]]
+        sentence = t[_sentence(t) :]
+        first = _first_words(sentence[:80], 2)
         head, n_commas, size = " ".join(first), sentence.count(",") + sentence.count(";"), sentence.count(" ")
         out += [f"stop:{stopped}", f"head:{head}:{stopped}", f"s3:{head}:{n_commas}:" + " ".join(tokens[-3:]), f"s2:{head.partition(' ')[0]}:{n_commas}:{';' in sentence}:" + " ".join(tokens[-2:]), f"len:{min(size, 20)}:{stopped}"]
         before, _, line = t.rpartition("\n")
-        out.append("line:" + " ".join(_word(x) for x in _TOKEN.findall(line[:120])[:8]))
+        out.append("line:" + " ".join(_first_words(line[:120], 8)))
         out.append(f"alone:{min(6, line.count(' '))}:{before[-1:] == chr(10)}:{before.rstrip()[-1:] in _CLOSING}:{'endmodule' in before[-14:]}")
     return out, inside
 
 
+def _sentence(t: str) -> int:
+    """Where the last sentence begins."""
+    # a stop near the end comes behind all that are farther from it
+    last = len(t) - 1
+    near = max(t.rfind(x, max(0, last - 400), last) + len(x) if x in t[-401:] else 0 for x in _STOPS)
+    return near if near > 2 else max(t.rfind(x, 0, last) + len(x) if x in t else 0 for x in _STOPS)
+
+
 def _body(t: str) -> str:
     """The text behind reasoning and an opening answer tag."""
     return t.rsplit("</think>", 1)[-1].lstrip().removeprefix("<answer>").removesuffix("</answer>")
@@ -205,7 +261,7 @@ def cut(value: str, rng: np.random.Generator, trace: bool = True) -> str | None:
     at = int(rng.integers(8, n)) if rng.random() < 0.6 else int(n - rng.integers(1, min(n - 8, 260)))
     out = value[:at]
     rest = out.rstrip()
-    _, inside = features(out)
+    _, inside = features(out, only_inside=True)
     if not inside and (not rest or rest[-1] in ".!?。！？:`>)}|" or rest.endswith("endmodule") or value[at : at + 1] in (".", "\n") or not value[at:].strip("` \n")):
         return None
     if trace and rng.random() < 0.25:

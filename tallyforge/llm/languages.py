@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tallyforge.llm.tokens import LOWER, U, chunks, mix
+from tallyforge.llm.tokens import LOWER, U, chunks, mix, words
 
 BITS = 16
 CODE, OTHER = "code", "other"
@@ -26,7 +26,7 @@ UNSEEN, APART = 2e-6, 5.0
 #: Bins in which deviations from the mean are counted: the lowest, width, number; those beyond count in the outermost.
 LOWEST, BIN, BINS = -896.0, 1 / 16, 1 << 14
 #: Characters that are worked on at once.
-PART = 1 << 20
+PART = 1 << 17
 
 #: Function words by which segments get their first label (fixed values).
 SEEDS = {
@@ -60,17 +60,43 @@ def seed_language(text: str) -> str | None:
             n = len(script.findall(text))
             if n >= 4 and n * (1 if k in ("ja", "ko", "zh") else 2) > len(_LETTERS.findall(text)):
                 return k
-    words = Counter(_LETTERS.findall(text.lower()))
+    count = Counter(_LETTERS.findall(text.lower()))
     score = Counter()
-    for w in words.keys() & _OF.keys():
+    for w in count.keys() & _OF.keys():
         for k in _OF[w]:
-            score[k] += words[w]
+            score[k] += count[w]
     top = score.most_common(2)
-    if not top or top[0][1] < 2 or top[0][1] < 0.06 * words.total() or len(top) > 1 and 1.3 * top[1][1] > top[0][1]:
+    if not top or top[0][1] < 2 or top[0][1] < 0.06 * count.total() or len(top) > 1 and 1.3 * top[1][1] > top[0][1]:
         return None
     return top[0][0]
 
 
+_PLAIN_LETTER = np.zeros(256, bool)
+_PLAIN_LETTER[97:123] = True
+_PLAIN_WORDS = [w for w in _OF if w.isascii()]
+_PLAIN_HASH = words([w.encode() for w in _PLAIN_WORDS], _PLAIN_LETTER).hash
+_BY_HASH = np.argsort(_PLAIN_HASH)
+_PLAIN_HASH, _PLAIN_OF = _PLAIN_HASH[_BY_HASH], np.array([[k in _OF[_PLAIN_WORDS[i]] for k in SEEDS] for i in _BY_HASH.tolist()], float)
+
+
+def seed_labels(texts: list[str]) -> np.ndarray:
+    """Place in LABELS of the language that :func:`seed_language` gives each text, -1 for none; plain texts are looked at together."""
+    out = np.array([-1 if t.isascii() or (k := seed_language(t)) is None else LABELS.index(k) for t in texts], np.int64)
+    plain = np.array([i for i, t in enumerate(texts) if t.isascii()], np.int64)
+    own = [texts[i] for i in plain.tolist()]
+    for a, b in chunks(own, PART):
+        w = words([t.encode().translate(LOWER) for t in own[a:b]], _PLAIN_LETTER)
+        at = np.minimum(np.searchsorted(_PLAIN_HASH, w.hash), len(_PLAIN_HASH) - 1)
+        hit = np.flatnonzero(_PLAIN_HASH[at] == w.hash)
+        n = np.diff(w.first)
+        row = np.repeat(np.arange(b - a), n)[hit]
+        score = np.column_stack([np.bincount(row, x, b - a) for x in _PLAIN_OF[at[hit]].T])
+        second, top = np.sort(score, axis=1)[:, -2:].T
+        fine = (top >= 2) & (top >= 0.06 * n) & (1.3 * second <= top)
+        out[plain[a:b][fine]] = np.array([LABELS.index(k) for k in SEEDS])[score.argmax(axis=1)[fine]]
+    return out
+
+
 @dataclass
 class Segments:
     """4-grams of a batch: hash and segment of each, and for each segment its text."""
@@ -83,14 +109,15 @@ class Segments:
     def cut(cls, texts: list[str]) -> Segments:
         """Cut at line ends and stops; 4-grams of letters and the signs between words only, so that names and numbers do not count."""
         raw = [t.encode("utf-8", "replace").translate(LOWER) for t in texts]
-        b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        joined = b"\n".join(raw) + b"\n"
+        b = np.frombuffer(joined, np.uint8)
         ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw)))
         nxt = np.append(b[1:], 10)
-        stop = (b == 10) | _STOP[b] & ((nxt == 32) | (nxt == 10))
+        stop = (b == 10) | np.frombuffer(joined.translate(_STOP.tobytes()), bool) & ((nxt == 32) | (nxt == 10))
         if len(b) > 2:
             stop[2:] |= (b[2:] == 0x82) & (b[1:-1] == 0x80) & (b[:-2] == 0xE3)
         segment = np.concatenate((np.zeros(1, np.int32), np.cumsum(stop, dtype=np.int32)[:-1]))
-        plain = _PLAIN[b]
+        plain = np.frombuffer(joined.translate(_PLAIN.tobytes()), bool)
         if len(b) < 4:
             return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         fine = plain[:-3] & plain[1:-2] & plain[2:-1] & plain[3:]
@@ -107,7 +134,7 @@ class Segments:
 def seeded(texts: list[str], code: list[str]) -> dict[str, np.ndarray]:
     """Number of each 4-gram in the texts of each of LABELS, as function words and scripts label them, and in code; number of segments of each label, and of all."""
     # a single segment often has words of several languages only, so all of a text get its label
-    label = np.array([-1 if (k := seed_language(t)) is None else LABELS.index(k) for t in texts], np.int64)
+    label = seed_labels(texts)
     m = len(LABELS) + 1
     grams, segments = np.zeros((1 << BITS, m)), np.zeros(m)
     for a, b in chunks(texts, PART):

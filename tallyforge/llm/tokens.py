@@ -46,10 +46,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise hashes so that every bit depends on every bit."""
     h = h ^ (h >> U(32))
-    h = h * U(0xD6E8FEB86659FD93)
-    h = h ^ (h >> U(32))
-    h = h * U(0xD6E8FEB86659FD93)
-    return h ^ (h >> U(32))
+    h *= U(0xD6E8FEB86659FD93)
+    h ^= h >> U(32)
+    h *= U(0xD6E8FEB86659FD93)
+    h ^= h >> U(32)
+    return h
 
 
 def splitmix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -66,21 +67,28 @@ class Words:
     first: np.ndarray  # len(texts) + 1: words of text i are first[i]:first[i + 1]
 
 
+def hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every range of bytes."""
+    p, q = powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, U)
+    value = _BYTE[b]
+    value *= p[:-1]
+    np.cumsum(value, out=total[1:])
+    return mix((total[end] - total[start]) * q[start])
+
+
 def words(raw: list[bytes], is_word: np.ndarray = ASCII_WORD) -> Words:
     """Split every byte string into its longest runs of word bytes."""
     n = len(raw)
     joined = b"\n".join(raw) + b"\n"
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in raw), np.int64, n)) if n else np.zeros(0, np.int64)
     b = np.frombuffer(joined, np.uint8)
-    w = is_word[b]
+    w = np.frombuffer(joined.translate(is_word.tobytes()), bool)
     edge = np.flatnonzero(w[1:] != w[:-1]) + 1
     if len(w) and w[0]:
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]
-    p, q = powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, U)
-    np.cumsum(_BYTE[b] * p[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * q[start])
+    h = hashes(b, start, end)
     first = np.concatenate(([0], np.searchsorted(start, ends, "left"))).astype(np.int64)
     return Words(start, end, h, first)
 

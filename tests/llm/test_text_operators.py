@@ -259,6 +259,47 @@ def test_pair_model_counts_more_pairs_than_a_block_holds(spark, monkeypatch):
     assert round(model.known["unit"][0] / model.share) == n and round(model.known["it"][1] / model.share) == n
 
 
+def test_pairs_are_described_once_for_fit_and_verdicts(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/expanded.parquet").where("length(expanded_prompt) > 0").orderBy("record_no").limit(300)
+    prompts = e.select(F.col("record_no").alias("prompt_key"), F.col("expanded_prompt").alias("prompt"), F.lit("verilog").alias("family"))
+    odd = spark.createDataFrame([("k", -1, None, "module a; endmodule", None), ("k", -2, -7, "\n", None)], "kind string, key long, prompt_key long, answer string, source string")
+    answers = e.select(F.lit("k").alias("kind"), F.col("record_no").alias("key"), F.col("record_no").alias("prompt_key"), F.col("reference_solution").alias("answer"), F.lit(None).cast("string").alias("source")).unionByName(odd)
+    shell = pairs.blank_pairs(prompts, answers, frozenset(), 302)
+    held = [pairs.Held.unpacked(r.packed, r.size) for r in pairs.described_pairs(prompts, answers, shell, 302, 100).collect()]
+    assert sorted(k for h in held for k in h.keys) == sorted(r.key for r in answers.collect())
+    for h in held:
+        asks, texts, families, sources = map(list, zip(*h.pairs, strict=True))
+        fresh = shell.describe(asks, texts, families, sources, [True] * len(texts))
+        for name in ("pair", "signs"):
+            a, b = getattr(h.found, name), getattr(fresh, name)
+            assert np.array_equal(a.index, b.index) and np.array_equal(a.first, b.first)
+        assert np.array_equal(pairs.worded(texts).index, fresh.words.index) and h.found.full == [bool(pairs.essence(t)) for t in texts]
+
+
+def test_what_is_counted_in_batches_is_what_the_expressions_count():
+    rng = np.random.default_rng(3)
+    signs = list("abZ'-.;:!?)]*`\" \t\n\r\x1c_1#\u00e9\u00df\u2019\u3002")
+    for _ in range(300):
+        values = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(5)]
+        count = {}
+        for w, end in cuts._PROSE.findall("\n".join(values).lower() + "\n"):
+            n = count.setdefault(w, [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + bool(end)
+        assert cuts.counted_words(values) == count
+    texts = ["", "the and", "the the a_the 1the", "der der le le", "El m\u00f3dulo lee la palabra y la guarda.", "Le bloc lit le mot et la sortie est la suite.", "x" * 200 + " the the"]
+    assert [None if k < 0 else languages.LABELS[k] for k in languages.seed_labels(texts)] == [languages.seed_language(t) for t in texts]
+
+
+def test_a_fit_goes_on_where_examples_are_the_same():
+    rng = np.random.default_rng(4)
+    rows = linear.Rows.of([np.unique(rng.integers(0, 900, rng.integers(0, 30))).astype(np.int32) for _ in range(500)])
+    y, half, begun = rng.integers(0, 2, (500, 2)), np.arange(0, 500, 2), {}
+    linear.fit_logistic(rows, y, epochs=2, among=half, begun=begun)
+    y[0, 1] = 1 - y[0, 1]  # one label changes, the other goes on from its second epoch
+    again, fresh = (linear.fit_logistic(rows, y, epochs=5, among=half, keep=True, begun=b) for b in (begun, None))
+    assert all(np.array_equal(getattr(again, x), getattr(fresh, x)) for x in ("weights", "bias", "seen", "bias_seen"))
+
+
 def test_fits_of_blocks_are_averaged_by_what_they_met():
     shell = pairs.blank(languages.Languages.fit([], []), {}, frozenset())
     sums = {name: np.zeros(shape) for name, shape in pairs.SHAPES.items()}
